@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts are long: fewer rows and bytes at once keep a Python worker's memory small.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
 
@@ -22,6 +25,13 @@ def ready(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for k, v in ARROW.items():
+        try:
+            if spark.conf.get(k) != v:
+                spark.conf.set(k, v)
+        except Exception as e:  # a setting that this version lacks
+            if "SQL_CONF_NOT_FOUND" not in str(e):
+                raise
     return spark
 
 

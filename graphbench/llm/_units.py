@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -23,12 +24,25 @@ def spaced_units(text: str) -> list[str]:
     return _SPACED.findall(text)
 
 
+class _Numbered(dict):
+    """Numbers keys in order of first sight; `new` lists those not yet encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class UnitTable:
     """Distinct units and their ids, at most `limit` of them between chunks."""
 
-    def __init__(self, encode_many: Callable[[list], list[list[int]]], limit: int = 600_000) -> None:
+    def __init__(self, encode_many: Callable[[list], list[list[int]]], limit: int = 300_000) -> None:
         self.encode_many, self.limit = encode_many, limit
-        self.index: dict = {}
+        self.index = _Numbered()
         self.lengths, self.starts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
         self.fresh: list = []
@@ -40,19 +54,18 @@ class UnitTable:
     def rows(self, units: list) -> np.ndarray:
         """The table row of each unit; new units are encoded and entered."""
         index = self.index
-        new = [u for u in set(units) if u not in index]
-        if new:
+        out = np.fromiter(map(index.__getitem__, units), np.int64, len(units))
+        if new := index.new:
             ids = self.encode_many(new)
             n, lens = len(index), np.fromiter(map(len, ids), np.int64, len(ids))
-            self.lengths, self.starts = self._room(self.lengths, n + len(new)), self._room(self.starts, n + len(new))
-            self.flat = self._room(self.flat, self.used + int(lens.sum()))
-            self.lengths[n : n + len(new)] = lens
-            self.starts[n : n + len(new)] = self.used + np.cumsum(lens) - lens
-            self.flat[self.used : self.used + int(lens.sum())] = np.fromiter((x for y in ids for x in y), np.int32, int(lens.sum()))
-            self.used += int(lens.sum())
-            index.update(zip(new, range(n, n + len(new)), strict=True))
-            self.fresh = new
-        return np.fromiter(map(index.__getitem__, units), np.int64, len(units))
+            a, total = n - len(new), int(lens.sum())
+            self.lengths, self.starts, self.flat = self._room(self.lengths, n), self._room(self.starts, n), self._room(self.flat, self.used + total)
+            self.lengths[a:n] = lens
+            self.starts[a:n] = self.used + np.cumsum(lens) - lens
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+            self.used += total
+            self.fresh, index.new = self.fresh + new, []
+        return out
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         return self.flat[ragged(self.starts[rows], self.lengths[rows])]
@@ -81,7 +94,7 @@ def library(path: str):
 
 
 def encode_ids(tok, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def special_strings(tok) -> list[str]:
