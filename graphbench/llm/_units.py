@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 
@@ -38,46 +39,55 @@ class _Numbered(dict):
 
 
 class UnitTable:
-    """Distinct units and their ids, at most `limit` of them between chunks."""
+    """Distinct units and their ids. Over `limit` units, after a chunk, the half that was met most often stays."""
 
-    def __init__(self, encode_many: Callable[[list], list[list[int]]], limit: int = 300_000) -> None:
+    def __init__(self, encode_many: Callable[[list], list[list[int]]], limit: int = 500_000) -> None:
         self.encode_many, self.limit = encode_many, limit
         self.index = _Numbered()
-        self.lengths, self.starts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.lengths, self.starts, self.hits = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
-        self.fresh: list = []
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate((a, np.zeros(max(n - len(a), len(a)), a.dtype)))
+        return a if n <= len(a) else np.concatenate((a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)))
 
     def rows(self, units: list) -> np.ndarray:
         """The table row of each unit; new units are encoded and entered."""
         index = self.index
         out = np.fromiter(map(index.__getitem__, units), np.int64, len(units))
+        n = len(index)
         if new := index.new:
             ids = self.encode_many(new)
-            n, lens = len(index), np.fromiter(map(len, ids), np.int64, len(ids))
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
             a, total = n - len(new), int(lens.sum())
-            self.lengths, self.starts, self.flat = self._room(self.lengths, n), self._room(self.starts, n), self._room(self.flat, self.used + total)
+            self.lengths, self.starts, self.hits = self._room(self.lengths, n), self._room(self.starts, n), self._room(self.hits, n)
+            self.flat = self._room(self.flat, self.used + total)
             self.lengths[a:n] = lens
             self.starts[a:n] = self.used + np.cumsum(lens) - lens
+            self.hits[a:n] = 0
             self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
             self.used += total
-            self.fresh, index.new = self.fresh + new, []
+            index.new = []
+        if len(out):
+            self.hits[:n] += np.bincount(out, minlength=n)
         return out
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         return self.flat[ragged(self.starts[rows], self.lengths[rows])]
 
     def settle(self) -> None:
-        """After a chunk: when over the limit, forget the units that came last."""
-        if len(self.index) > self.limit:
-            for u in self.fresh:
-                del self.index[u]
-            n = len(self.index)
-            self.used = int(self.starts[n - 1] + self.lengths[n - 1]) if n else 0
-        self.fresh = []
+        """After a chunk: when over the limit, forget the units met least; rows given before no longer hold."""
+        n = len(self.index)
+        if n <= self.limit:
+            return
+        kept = np.sort(np.argsort(-self.hits[:n], kind="stable")[: self.limit // 2])
+        stays = np.zeros(n, bool)
+        stays[kept] = True
+        index = _Numbered()
+        index.update(zip((u for u, s in zip(self.index, stays.tolist(), strict=True) if s), range(len(kept)), strict=True))
+        self.flat = self.ids(kept)
+        self.lengths, self.hits, self.used, self.index = self.lengths[kept], self.hits[kept] // 2, len(self.flat), index
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
 
 _LOADED: dict = {}
@@ -101,24 +111,112 @@ def special_strings(tok) -> list[str]:
     return [t.content for t in tok.get_added_tokens_decoder().values()]
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+#: How the tokenizer with word ends cuts text; a fixed value of the public tokenizer.
+WORD_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = b"\xff"
+
+
+def merge_alone(symbols: list[bytes], order: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """Merge symbols pair by pair: the earliest merge first, the leftmost of equals."""
+    while len(symbols) > 1:
+        best, at = min((order.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+        if best == 1 << 60:
+            break
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    return symbols
+
+
+class WordMerger:
+    """Merges single words as the library with word ends does, by a rank for each token instead of for each pair.
+
+    The word end is byte 0xFF, which no UTF-8 text has, and joining it to the last byte ranks before all merges. Ranks hold only
+    tokens that merge from their own bytes alone. For these both ways agree: up to when two neighbours could join into a
+    token, nothing has merged across their outer edges, so they went through the steps of the token alone,
+    whose only state of two symbols is its own last pair. And a token that doesn't merge alone is made by no text.
+    """
+
+    def __init__(self, path: str) -> None:
+        import json
+
+        import regex
+        import tiktoken
+
+        model, letters = json.loads(Path(path).read_text(encoding="utf-8"))["model"], byte_letters()
+
+        def raw(token: str) -> bytes:
+            end = token.endswith("</w>")
+            return bytes(letters[c] for c in (token[:-4] if end else token)) + WORD_END * end
+
+        pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        order = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        ranks, self.ids = {bytes([b]): b for b in range(256)}, {}
+        for c, b in letters.items():
+            ranks[bytes([b]) + WORD_END] = 256 + b
+            self.ids[b], self.ids[256 + b] = model["vocab"][c], model["vocab"][c + "</w>"]
+        for i, (a, b) in enumerate(pairs):
+            token = raw(a) + raw(b)
+            end = token.endswith(WORD_END)
+            alone = [bytes([x]) for x in (token[:-2] if end else token)] + [token[-2:]] * end
+            if token not in ranks and merge_alone(alone, order) == [token]:
+                ranks[token] = 512 + i
+                self.ids[512 + i] = model["vocab"][a + b]
+        self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.cut, self.tok = regex.compile(WORD_PRETOKEN), library(path)
+
+    def encode(self, units: list[bytes]) -> list[list[int]]:
+        """ids of units (no ASCII white space, A-Z lower-cased). What the library's normalizer might change goes to the library."""
+        merge, ids, out, odd = self.merge, self.ids, [], []
+        for u in units:
+            if u.isalpha():
+                out.append([ids[r] for r in merge(u + WORD_END)])
+                continue
+            s = u.decode("utf-8", "replace")
+            if s.isprintable() and max(s) < "\u0250" and "\u0130" not in s:
+                out.append([ids[r] for p in self.cut.findall(s.lower()) for r in merge(p.encode() + WORD_END)])
+            else:
+                odd.append(len(out))
+                out.append(s)
+        for i, got in zip(odd, encode_ids(self.tok, [out[i] for i in odd]), strict=True):
+            out[i] = got
+        return out
+
+
 class TextEncoder:
     """ids of whole texts, equal to the library's `encode(text, add_special_tokens=False)`.
 
-    split gives the units of a text. A text that holds the string of an added token goes to the library whole.
+    kind 'spaced' is for byte-level pre-tokenizers; 'words' for those that lower-case and drop white space, whose units
+    are cut and lower-cased as bytes. A text that holds the string of an added token goes to the library whole.
     """
 
-    def __init__(self, path: str, split: Callable[[str], list[str]]) -> None:
-        self.tok, self.split = library(path), split
+    def __init__(self, path: str, kind: str) -> None:
+        self.tok, self.words = library(path), kind == "words"
         self.special = [s.encode() for s in special_strings(self.tok)]
-        self.table = UnitTable(lambda units: encode_ids(self.tok, units))
+        self.merger = WordMerger(path) if self.words else None
+        self.table = UnitTable(self._encode_units)
+
+    def _encode_units(self, units: list) -> list[list[int]]:
+        return self.merger.encode(units) if self.words else encode_ids(self.tok, units)
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        per_text = [self.split(t.decode("utf-8", "replace")) if t else [] for t in texts]
-        odd = {i for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        for i in odd:
-            per_text[i] = []
-        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        rows = self.table.rows([u for units in per_text for u in units])
+        flat, counts, odd = [], np.zeros(len(texts), np.int64), []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            t = t.lower() if self.words else t
+            if any(s in t for s in self.special):
+                odd.append(i)
+                continue
+            units = t.split() if self.words else spaced_units(t.decode("utf-8", "replace"))
+            counts[i] = len(units)
+            flat += units
+        rows = self.table.rows(flat)
         ids, held = self.table.ids(rows), self.table.lengths[rows]
         ends = np.concatenate(([0], np.cumsum(held)))[np.concatenate(([0], np.cumsum(counts)))]
         out = [ids[ends[i] : ends[i + 1]] for i in range(len(texts))]
@@ -132,14 +230,7 @@ _ENCODERS: dict = {}
 
 
 def text_encoder(path: str, kind: str) -> TextEncoder:
-    """kind: 'spaced' for byte-level pre-tokenizers, 'words' for those that drop white space. One a process."""
+    """One a process."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = TextEncoder(path, spaced_units if kind == "spaced" else ascii_split)
+        _ENCODERS[path, kind] = TextEncoder(path, kind)
     return _ENCODERS[path, kind]
-
-
-_ASCII = re.compile("[^\t\n\x0b\x0c\r ]+")
-
-
-def ascii_split(text: str) -> list[str]:
-    return _ASCII.findall(text)

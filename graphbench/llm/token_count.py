@@ -10,24 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import byte_texts, chunks, ready, require, tokenizer_path
-from ._units import UnitTable, encode_ids, library, spaced_units, special_strings
+from ._units import UnitTable, byte_letters, encode_ids, library, spaced_units, special_strings
 
 #: How a byte-level pre-tokenizer cuts text; a fixed value of the public tokenizer.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_letters() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def prove_whole_tokens(path: str) -> set[str]:
     """Vocabulary strings that are one pre-token and encode alone as their own single token."""
     import regex
 
-    tok, letters, cut = library(path), _byte_letters(), regex.compile(PRETOKEN)
+    tok, letters, cut = library(path), byte_letters(), regex.compile(PRETOKEN)
     special, found = set(special_strings(tok)), []
     for s, i in tok.get_vocab(with_added_tokens=False).items():
         if s in special or any(c not in letters for c in s):
