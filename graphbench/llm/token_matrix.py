@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, tokenizer_path
-from .packing import token_pieces
+from ._common import byte_texts, chunks, ready, require, tokenizer_path
+from ._units import text_encoder
 
 
 class RoomTree:
@@ -61,45 +63,90 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return number, offset
 
 
-def pack_matrix(docs: DataFrame, width: int = 2048, path: str | None = None, kind: str = "spaced", end_id: int = 50256, pad_id: int = 50256, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 24_000, rows_per_file_group: int = 512) -> DataFrame:
+class Packer:
+    """Packs segments as they come: buffers some, plans them together, gives out the full rows and holds the pieces of the others back."""
+
+    def __init__(self, width: int, pad_id: int, buffer_tokens: int, full: float = 0.985) -> None:
+        self.width, self.pad, self.most, self.full = width, pad_id, buffer_tokens, full
+        self.held: list[tuple] = []  # (doc index, piece, start, ids)
+        self.tokens = 0
+
+    def add(self, segment: tuple) -> list[list[tuple]]:
+        self.held.append(segment)
+        self.tokens += len(segment[3])
+        return self.flush() if self.tokens >= self.most else []
+
+    def flush(self, last: bool = False) -> list[list[tuple]]:
+        """Rows as lists of segments. Unless it is the last time, rows that aren't full are planned again, if they hold less than half of the buffer."""
+        if not self.held:
+            return []
+        order = sorted(range(len(self.held)), key=lambda i: -len(self.held[i][3]))
+        number, _ = best_fit_decreasing(np.asarray([len(self.held[i][3]) for i in order]), self.width)
+        rows: list[list[tuple]] = [[] for _ in range(int(number.max()) + 1)]
+        for i, n in zip(order, number.tolist(), strict=True):
+            rows[n].append(self.held[i])
+        loads = [sum(len(s[3]) for s in r) for r in rows]
+        open_rows = [r for r, n in zip(rows, loads, strict=True) if n < self.full * self.width]
+        left = sum(len(s[3]) for r in open_rows for s in r)
+        if last or 2 * left > self.most:
+            self.held, self.tokens = [], 0
+            return rows
+        self.held, self.tokens = [s for r in open_rows for s in r], left
+        return [r for r, n in zip(rows, loads, strict=True) if n >= self.full * self.width]
+
+    def matrix_row(self, row: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """ids, positions and cumulative lengths of one row."""
+        ids, positions, edges = np.full(self.width, self.pad, "<u2"), np.zeros(self.width, "<u2"), [0]
+        for *_, got in row:
+            at = edges[-1]
+            ids[at : at + len(got)], positions[at : at + len(got)] = got, np.arange(len(got))
+            edges.append(at + len(got))
+        positions[edges[-1] :] = np.arange(self.width - edges[-1])
+        return ids, positions, edges
+
+
+def pack_matrix(docs: DataFrame, width: int = 2048, path: str | None = None, kind: str = "words", end_id: int = 49407, pad_id: int = 49407, id_col: str = "doc_id", text_col: str = "text", buffer_tokens: int = 4_000_000) -> DataFrame:
     """One row a sequence: sequence_id, n_tokens, doc_ids, pieces, starts (token offset inside the document),
     cu_seqlens (int array from 0 to n_tokens), ids (width uint16, little-endian, padded) and positions (width uint16, from 0 in each segment and in the padding).
 
     The vocabulary must have at most 65,536 ids. Documents end with end_id; those of over width tokens are cut
     without loss, so joining a document's segments by piece gives its ids back. Null and empty texts are one
     end_id. Repeated rows are kept; an empty table gives an empty result; other columns are ignored.
-    Shards of about shard_rows pieces are planned on lengths alone; ids travel once, to their sequence's group.
+    Segments are packed where their texts are read, without a shuffle: each task plans about buffer_tokens at a time and holds back what doesn't fill
+    a row, so a partition wastes the last rows of its last plan only.
     """
-    path = path or tokenizer_path("byte_bpe_50k.json")
-    pieces = materialize(token_pieces(docs, path, kind, end_id, width, id_col, text_col, with_ids=True), "pieces")
-    shards = max(1, -(-pieces.count() // shard_rows))
-    id_type = pieces.schema["doc_id"].dataType.simpleString()
-
-    def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "row_key", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        pdf["number"], pdf["offset"] = best_fit_decreasing(pdf["length"].to_numpy(), width)
-        return pdf[["row_key", "piece", "number", "offset"]].assign(shard=key[0])
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for sid, g in pdf.sort_values(["sequence_id", "offset"]).groupby("sequence_id", sort=False):
-            ids, positions = np.full(width, pad_id, "<u2"), np.zeros(width, "<u2")
-            at = 0
-            for part in g["ids"]:
-                got = np.frombuffer(part, "<u4")
-                ids[at : at + len(got)], positions[at : at + len(got)] = got, np.arange(len(got))
-                at += len(got)
-            positions[at:] = np.arange(width - at)
-            rows.append((sid, at, g["doc_id"].tolist(), g["piece"].tolist(), g["start"].tolist(), [*g["offset"].tolist(), at], ids.tobytes(), positions.tobytes()))
-        return pd.DataFrame(rows, columns=["sequence_id", "n_tokens", "doc_ids", "pieces", "starts", "cu_seqlens", "ids", "positions"])
-
-    shard = F.pmod(F.xxhash64("row_key", "piece"), F.lit(shards))
-    planned = pieces.select("row_key", "piece", "length", shard.alias("shard")).groupBy("shard").applyInPandas(plan, "row_key long, piece int, number long, offset long, shard long")
-    planned = planned.withColumn("sequence_id", F.col("shard") * F.lit(1 << 32) + F.col("number"))
-    joined = pieces.select("row_key", "doc_id", "piece", "start", "ids").join(planned, ["row_key", "piece"])
-    joined = joined.withColumn("grp", F.floor(F.col("number") / rows_per_file_group))
+    ready(docs.sparkSession)
+    path = path or tokenizer_path("word_bpe_49k.json")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    kinds = [pa.int64(), pa.int32(), pa.list_(id_kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    names = ["sequence_id", "n_tokens", "doc_ids", "pieces", "starts", "cu_seqlens", "ids", "positions"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, packer = text_encoder(path, kind), Packer(width, pad_id, buffer_tokens)
+        numbers = count((TaskContext.get().partitionId() << 33) if TaskContext.get() else 0)
+
+        def out(rows: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(rows), 512):
+                cols: list[list] = [[] for _ in names]
+                for row in rows[at : at + 512]:
+                    ids, positions, edges = packer.matrix_row(row)
+                    for c, v in zip(cols, (next(numbers), edges[-1], [s[0] for s in row], [s[1] for s in row], [s[2] for s in row], edges, ids.tobytes(), positions.tobytes()), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+        for b in batches:
+            doc_ids, texts = b.column(0).to_pylist(), byte_texts(b.column(1))
+            for i, j in chunks(texts):
+                for doc, ids in zip(doc_ids[i:j], enc.encode(texts[i:j]), strict=True):
+                    ids = np.append(ids, end_id).astype("<u2")
+                    for piece, start in enumerate(range(0, len(ids), width)):
+                        if rows := packer.add((doc, piece, start, ids[start : start + width])):
+                            yield from out(rows)
+        yield from out(packer.flush(last=True))
+
     shape = f"sequence_id long, n_tokens int, doc_ids array<{id_type}>, pieces array<int>, starts array<long>, cu_seqlens array<int>, ids binary, positions binary"
-    return joined.select("shard", "grp", "sequence_id", "doc_id", "piece", "start", "offset", "ids").groupBy("shard", "grp").applyInPandas(build, shape)
+    return require(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, shape)
 
 
 def unpack(rows: list, width: int) -> dict:
@@ -116,6 +163,3 @@ def write_matrices(matrix: DataFrame, path: str) -> None:
     """Save packed rows as Parquet (ids and positions stay binary columns, one fixed width a table)."""
     matrix.write.parquet(path)
 
-
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)

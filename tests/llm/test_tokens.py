@@ -113,7 +113,7 @@ def test_pack_documents(spark):
 @pytest.mark.parametrize(("path", "kind", "end"), [(WORD, "words", 49407), (BYTE, "spaced", 50256)])
 def test_matrix_round_trip(spark, path, kind, end):
     rows = [(i, t, i) for i, t in enumerate(ODD)]
-    got = pack_matrix(spark.createDataFrame(rows, "doc_id long, text string, ids long").repartition(2), width=128, path=path, kind=kind, end_id=end, pad_id=end, shard_rows=40).collect()
+    got = pack_matrix(spark.createDataFrame(rows, "doc_id long, text string, ids long").repartition(2), width=128, path=path, kind=kind, end_id=end, pad_id=end, buffer_tokens=700).collect()
     lib = _units.library(path)
     back = unpack(got, 128)
     assert sorted(back) == list(range(len(ODD)))
