@@ -16,32 +16,28 @@ from graphbench.llm._common import materialize
 LEAST_LANG_SCORE = 0.25
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept; rows of a null id go."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose language is unclear, go."""
-    found = materialize(langid.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANG_SCORE)).select("doc_id"), "lang")
-    return _only(docs, found)
+    """Documents without letters, or whose language is unclear, go. Rows are judged where they are read."""
+    found = langid.with_language(docs, docs.columns, "__lang", "__lang_score")
+    return found.where((F.col("__lang") != "und") & (F.col("__lang_score") >= LEAST_LANG_SCORE)).select(docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted quality is 0 go."""
+    """Documents whose predicted quality is 0 go. Rows are judged where they are read."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, materialize(quality.quality_scores(docs, labels).where("predicted = 1").select("doc_id"), "quality"))
+    return quality.with_quality(docs, labels, docs.columns, "__quality").where(F.col("__quality") >= 0.5).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
-    return _only(docs, minmax.near_duplicates(docs, size=5, num=80, den=100).where("kept"))
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more. Rows of a null id go."""
+    kept = minmax.near_duplicates(docs, size=5, num=80, den=100).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a test item, or a whole shorter item, go."""
+    """Documents that hold ten consecutive words of a test item, or a whole shorter item, go. Rows are scanned where they are read."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _only(docs, materialize(decontam.decontaminate(docs, items, with_spans=False).where("n_hit = 0").select("doc_id"), "clean"))
+    return decontam.with_hits(docs, items, docs.columns, with_spans=False, prefix="__").where("__n_hit = 0").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Texts are long: fewer rows and bytes at once keep a Python worker's memory small.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
@@ -103,6 +105,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - first, lengths) + np.arange(total)
 
 
+def judged(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list[pa.Array]]], extra: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of df and, beside them, what the worker's function makes of the texts: rows are judged where they are read.
+
+    make is called once a task; extra is the schema of the new columns, whose names must not be among keep.
+    """
+    extra_type = StructType.fromDDL(extra)
+    shape = StructType([df.schema[c] for c in keep] + extra_type.fields)
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    taken = df.select(*[df[c] for c in keep], *([df[text_col]] if at == len(keep) else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *judge(byte_texts(b.column(at)))], names=shape.names)
+
+    return taken.mapInArrow(run, shape)
+
+
 def require(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, whatever else df carries."""
     return df.select(*[df[n] for n in names])

@@ -41,7 +41,7 @@ class _Numbered(dict):
 class UnitTable:
     """Distinct units and their ids. Over `limit` units, after a chunk, the half that was met most often stays."""
 
-    def __init__(self, encode_many: Callable[[list], list[list[int]]], limit: int = 500_000) -> None:
+    def __init__(self, encode_many: Callable[[list], list[list[int]]], limit: int = 400_000) -> None:
         self.encode_many, self.limit = encode_many, limit
         self.index = _Numbered()
         self.lengths, self.starts, self.hits = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_texts, ready, require
+from ._common import judged, ready
 
 #: Lower-cases A-Z and turns every byte that is no word byte (0-9, a-z, 0x80 on) into a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -69,16 +67,14 @@ class Scanner:
         return len(words), np.cumsum(mark[:-1]) > 0, items
 
 
-_SCANNERS: dict = {}
+_LATEST: list = []
 
 
 def _scanner(items, size: int) -> Scanner:
-    """Built once a worker process for each broadcast benchmark; the latest is kept."""
-    key = (id(items.value), size)
-    if key not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(items.value, size)
-    return _SCANNERS[key]
+    """Built once a worker process for a broadcast benchmark; the latest is kept, with its items, so that no other list can pass for them."""
+    if not (_LATEST and _LATEST[0] is items.value and _LATEST[1] == size):
+        _LATEST[:] = [items.value, size, Scanner(items.value, size)]
+    return _LATEST[2]
 
 
 def spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -98,42 +94,45 @@ def spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_items: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = True) -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, items (sorted ids of occurring items), spans (start, end: characters).
-
-    Normalising lower-cases A-Z and keeps word bytes; a window is `size` consecutive words of an item, or a whole item
-    of fewer. Documents and items that are null or have no words hit nothing; repeated rows and items are
-    each counted as they stand; empty tables give no hits or no rows; other columns are ignored.
-    The benchmark is read by the driver: max_items bounds it, and a larger one raises an error.
-    Documents are scanned where they are read, without a shuffle.
-    """
+def with_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 10, max_items: int = 200_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = True, prefix: str = "") -> DataFrame:
+    """The columns `keep` of every row with n_words, n_hit, items and spans, each behind the prefix; see decontaminate."""
     spark = ready(docs.sparkSession)
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"benchmark has over {max_items} items; scan it in parts")
     items = spark.sparkContext.broadcast([(r.i, r.t) for r in rows])
+    item_type = benchmark.schema[item_id].dataType.simpleString()
+    item_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         scanner = _scanner(items, size)
-        for b in batches:
+
+        def judge(texts: list) -> list[pa.Array]:
             n, hit, found, places = [], [], [], []
-            for t in byte_texts(b.column(1)):
+            for t in texts:
                 words, mask, ids = scanner.scan(t)
                 n.append(words)
                 hit.append(int(mask.sum()))
                 found.append(ids)
                 places.append([{"start": a, "end": e} for a, e in spans(t, mask)] if with_spans and ids else [])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(item_kind)), pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+            return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(item_kind)), pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
-    item_type = benchmark.schema[item_id].dataType.simpleString()
-    item_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
-    kind = docs.schema[id_col].dataType.simpleString()
-    return require(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        scan, f"doc_id {kind}, n_words long, n_hit long, items array<{item_type}>, spans array<struct<start:long,end:long>>"
-    )
+        return judge
+
+    p = prefix
+    return judged(docs, text_col, make, f"`{p}n_words` long, `{p}n_hit` long, `{p}items` array<{item_type}>, `{p}spans` array<struct<start:long,end:long>>", keep)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_items: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = True) -> DataFrame:
+    """One row a document: doc_id, n_words, n_hit, items (sorted ids of occurring items), spans (start, end: characters).
+
+    Normalising lower-cases A-Z and keeps word bytes; a window is `size` consecutive words of an item, or a whole item
+    of fewer. Documents and items that are null or have no words hit nothing; repeated rows and items are
+    each counted as they stand; empty tables give no hits or no rows; other columns are ignored.
+    The benchmark is read by the driver: max_items bounds it, and a larger one raises an error.
+    Documents are scanned where they are read, without a shuffle.
+    """
+    return with_hits(docs, benchmark, [id_col], size, max_items, text_col, item_id, item_text, with_spans).withColumnRenamed(id_col, "doc_id")
 
 
 def items_digest(ids: list) -> str:

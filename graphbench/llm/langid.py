@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import byte_texts, ready, remainder_is, require
+from ._common import judged, ready, remainder_is, require
 from ._ngrams import hashed, windows
 
 BITS = 13
@@ -136,23 +134,17 @@ def learn(docs: DataFrame, per_lang: int, sample_bytes: int, n_families: int | N
     return Identifier(np.stack(x) if x else np.zeros((0, 1 << BITS), np.float32), langs, n_families)
 
 
-def identify(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 500, sample_bytes: int = 8_000_000, n_families: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row a document: doc_id, held_out, lang_pred, score (0 to 1).
-
-    Learns from rows with a language whose crc32 of the id modulo `modulus` is not `held`, at most per_lang rows and sample_bytes a language.
-    Only the text is used for a prediction. A null, empty or letterless text is `und` with score 0, as is every text where nothing could be learned.
-    Ties go to the language that sorts first. Repeated rows are judged each; an empty table gives no rows; other columns are ignored. No shuffle of texts.
-    """
+def with_language(docs: DataFrame, keep: list[str], pred: str = "lang_pred", score: str = "score", modulus: int = 4, held: int = 2, per_lang: int = 500, sample_bytes: int = 8_000_000, n_families: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The columns `keep` of every row with its language and score under the names given; see identify."""
     spark = ready(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    d = require(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").withColumn("held_out", remainder_is("doc_id", modulus, held))
-    model = spark.sparkContext.broadcast(learn(d.where(~F.col("held_out")), per_lang, sample_bytes, n_families))
+    train = require(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where(~remainder_is("doc_id", modulus, held))
+    model = spark.sparkContext.broadcast(learn(train, per_lang, sample_bytes, n_families))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         m = model.value
-        for b in batches:
-            pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            texts = byte_texts(b.column(2))
+
+        def judge(texts: list) -> list[pa.Array]:
+            found, scores = ["und"] * len(texts), np.zeros(len(texts))
             for at in range(0, len(texts), 256):
                 rows, x = [], []
                 for i in range(at, min(at + 256, len(texts))):
@@ -161,9 +153,22 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 5
                         x.append(features(flat))
                 if rows:
                     langs, s = m.predict(np.stack(x))
-                    score[rows] = s
+                    scores[rows] = s
                     for i, v in zip(rows, langs, strict=True):
-                        pred[i] = v
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                        found[i] = v
+            return [pa.array(found, pa.string()), pa.array(scores)]
+
+        return judge
 
-    return d.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    return judged(docs, text_col, make, f"`{pred}` string, `{score}` double", keep)
+
+
+def identify(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 500, sample_bytes: int = 8_000_000, n_families: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row a document: doc_id, held_out, lang_pred, score (0 to 1).
+
+    Learns from rows with a language whose crc32 of the id modulo `modulus` is not `held`, at most per_lang rows and sample_bytes a language.
+    Only the text is used for a prediction. A null, empty or letterless text is `und` with score 0, as is every text where nothing could be learned.
+    Ties go to the language that sorts first. Repeated rows are judged each; an empty table gives no rows; other columns are ignored. No shuffle of texts.
+    """
+    out = with_language(docs, [id_col], "lang_pred", "score", modulus, held, per_lang, sample_bytes, n_families, id_col, text_col, lang_col)
+    return out.select(F.col(id_col).alias("doc_id"), remainder_is(id_col, modulus, held).alias("held_out"), "lang_pred", "score")

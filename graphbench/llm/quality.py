@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import byte_texts, ready, remainder_is, require
+from ._common import judged, ready, remainder_is, require
 from ._ngrams import hashed, windows
 
 BITS = 17
@@ -90,6 +88,14 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int, sample_bytes: int)
     return Classifier([t for _, t, _ in rows], y, weights)
 
 
+def with_quality(docs: DataFrame, labels: DataFrame, keep: list[str], score: str = "score", modulus: int = 3, held: int = 1, per_class: int = 2000, sample_bytes: int = 10_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns `keep` of every row with its quality score under the name given; see quality_scores."""
+    spark = ready(docs.sparkSession)
+    train = require(docs, id_col, text_col).toDF("doc_id", "text").where(~remainder_is("doc_id", modulus, held))
+    model = spark.sparkContext.broadcast(learn(train, labels.select("doc_id", "quality"), per_class, sample_bytes))
+    return judged(docs, text_col, lambda: lambda texts: [pa.array([model.value.score(t) for t in texts], pa.float64())], f"`{score}` double", keep)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, per_class: int = 2000, sample_bytes: int = 10_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.5).
 
@@ -97,16 +103,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
     the lower of two labels counts. Null, empty and wordless texts share one score, learned from such texts if any are labelled. Without labels every score is 0.5.
     Repeated rows are scored each; an empty table gives no rows; other columns are ignored. Texts are not shuffled.
     """
-    spark = ready(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    d = require(docs, id_col, text_col).toDF("doc_id", "text").withColumn("held_out", remainder_is("doc_id", modulus, held))
-    marks = labels.select("doc_id", "quality")
-    model = spark.sparkContext.broadcast(learn(d.where(~F.col("held_out")), marks, per_class, sample_bytes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for b in batches:
-            s = [m.score(t) for t in byte_texts(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
-
-    return d.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    out = with_quality(docs, labels, [id_col], "score", modulus, held, per_class, sample_bytes, id_col, text_col)
+    return out.select(F.col(id_col).alias("doc_id"), remainder_is(id_col, modulus, held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
