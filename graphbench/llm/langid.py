@@ -81,7 +81,7 @@ class Identifier:
         self.langs = sorted(set(langs))
         at = np.asarray([self.langs.index(v) for v in langs], int)
         means = np.stack([x[at == i].mean(0) for i in range(len(self.langs))]) if self.langs else np.zeros((0, 1 << BITS))
-        means = means - means.mean(0)
+        means = means - means.mean(0) if self.langs else means
         means /= np.linalg.norm(means, axis=1, keepdims=True) + 1e-9
         self.families = families(means, n_families or max(1, round(len(self.langs) ** 0.5))) if self.langs else []
         family_of = np.zeros(max(1, len(self.langs)), int)
@@ -117,7 +117,7 @@ class Identifier:
             share = wins[np.ix_(rows, g)] / max(1, len(g) - 1) if len(g) > 1 else np.ones((len(rows), 1))
             best[rows] = np.asarray(g)[share.argmax(axis=1)]
             score[rows] = fam[rows, k] * share.max(axis=1)
-        return [self.langs[i] for i in best], np.clip(score, 0, 1)
+        return [self.langs[i] for i in best], np.round(np.clip(score, 0, 1), 6)
 
 
 def learn(docs: DataFrame, per_lang: int, sample_bytes: int, n_families: int | None) -> Identifier:

@@ -60,6 +60,8 @@ class Classifier:
             w -= np.outer(mean, g)
             bias -= 0.1 * g
             e[u] -= (n * min(len(u), 400))[:, None] * back  # a step as large for long texts as for short ones
+        if not bags:
+            e[:], bias[:] = 0, 0
         d = w[:, 1] - w[:, 0]
         self.share, self.bias = (e @ d).astype(np.float32), float(bias[1] - bias[0])
 
