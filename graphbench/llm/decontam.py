@@ -94,12 +94,14 @@ def spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 10, max_items: int = 200_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = True, prefix: str = "") -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 10, max_items: int = 200_000, max_bytes: int = 200_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = True, prefix: str = "") -> DataFrame:
     """The columns `keep` of every row with n_words, n_hit, items and spans, each behind the prefix; see decontaminate."""
     spark = ready(docs.sparkSession)
-    rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"benchmark has over {max_items} items; scan it in parts")
+    tests = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    n, size_of = tests.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    if n > max_items or size_of > max_bytes:
+        raise ValueError(f"benchmark has {n} items of {size_of} bytes, over {max_items} or {max_bytes}; scan it in parts")
+    rows = tests.collect()
     items = spark.sparkContext.broadcast([(r.i, r.t) for r in rows])
     item_type = benchmark.schema[item_id].dataType.simpleString()
     item_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
@@ -123,16 +125,16 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int
     return judged(docs, text_col, make, f"`{p}n_words` long, `{p}n_hit` long, `{p}items` array<{item_type}>, `{p}spans` array<struct<start:long,end:long>>", keep)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_items: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_items: int = 200_000, max_bytes: int = 200_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = True) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, items (sorted ids of occurring items), spans (start, end: characters).
 
     Normalising lower-cases A-Z and keeps word bytes; a window is `size` consecutive words of an item, or a whole item
     of fewer. Documents and items that are null or have no words hit nothing; repeated rows and items are
     each counted as they stand; empty tables give no hits or no rows; other columns are ignored.
-    The benchmark is read by the driver: max_items bounds it, and a larger one raises an error.
+    The benchmark is read by the driver, once its items and bytes are counted: more than max_items or max_bytes raise an error.
     Documents are scanned where they are read, without a shuffle.
     """
-    return with_hits(docs, benchmark, [id_col], size, max_items, text_col, item_id, item_text, with_spans).withColumnRenamed(id_col, "doc_id")
+    return with_hits(docs, benchmark, [id_col], size, max_items, max_bytes, text_col, item_id, item_text, with_spans).withColumnRenamed(id_col, "doc_id")
 
 
 def items_digest(ids: list) -> str:

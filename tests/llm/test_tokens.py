@@ -158,4 +158,7 @@ def test_decontamination(spark):
         assert sum(brute(t[s.start : s.end], low)[0] for s in r.spans) == r.n_hit
     assert decontam.decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.decontaminate(df.limit(0), bench).count() == 0
+    for bound in ({"max_items": 3}, {"max_bytes": 40}):
+        with pytest.raises(ValueError, match="scan it in parts"):
+            decontam.decontaminate(df, bench, **bound)
     assert decontam.items_digest([2, 10]) == hashlib.sha256(b"10,2").hexdigest()
