@@ -11,9 +11,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Texts are long: fewer rows and bytes at once keep a Python worker's memory small.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
@@ -123,6 +123,21 @@ def judged(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], lis
     return taken.mapInArrow(run, shape)
 
 
+def sampled_ids(rows: DataFrame, id_col: str, group: str, most: int, seed: int, groups: int) -> DataFrame:
+    """(id, group), distinct: at most `most` ids of each of the `groups` commonest groups, those whose hash is least.
+
+    A bound on the hash, from the group's size, leaves about twice as many ids as are wanted before they are ranked: the
+    task that ranks a group sees those few, however many rows and partitions there are.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(groups).collect()
+    shape = StructType([rows.schema[group], StructField("__share", DoubleType())])
+    shares = rows.sparkSession.createDataFrame([(r[group], (2 * most + 64) / r["n"]) for r in sizes], shape)
+    mark = F.xxhash64(id_col, F.lit(seed))
+    near = rows.select(id_col, group).join(F.broadcast(shares), group).where(mark / 2.0**64 + 0.5 < F.col("__share")).select(id_col, group).distinct()
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col))
+    return near.withColumn("__r", rank).where(F.col("__r") <= most).drop("__r")
+
+
 def require(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, whatever else df carries."""
     return df.select(*[df[n] for n in names])

@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import judged, ready, remainder_is, require
+from ._common import judged, ready, remainder_is, require, sampled_ids
 from ._ngrams import hashed, windows
 
 BITS = 13
+#: Languages that are learned at most, the commonest.
+MAX_LANGS = 1000
 #: A-Z lowered, other ASCII letters and all bytes of other scripts kept, the rest of ASCII a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ASCII = re.compile(rb"[a-z]")
@@ -121,14 +123,14 @@ class Identifier:
 
 
 def learn(docs: DataFrame, per_lang: int, sample_bytes: int, n_families: int | None) -> Identifier:
-    """Fit on at most per_lang rows of each language, by hash of the id; ids are chosen first, texts fetched after."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id")
-    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select(F.col("doc_id").alias("i"), F.col("lang").alias("l"))
+    """Fit on at most per_lang ids of each language, by hash of the id; ids are chosen first, texts fetched after. A text that doesn't fit in what is left of sample_bytes is passed over."""
+    ids = sampled_ids(docs.where("lang is not null and doc_id is not null"), "doc_id", "lang", per_lang, 31, MAX_LANGS).select(F.col("doc_id").alias("i"), F.col("lang").alias("l"))
+    docs = docs.where(F.octet_length("text") <= sample_bytes)
     x, langs, held = [], [], {}
     for r in docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).orderBy("doc_id", "lang", "text").select("text", "lang").toLocalIterator():
         t = (r.text or "").encode()
-        held[r.lang] = held.get(r.lang, 0) + len(t)
-        if held[r.lang] <= sample_bytes and (flat := letters(t)):
+        if held.get(r.lang, 0) + len(t) <= sample_bytes and (flat := letters(t)):
+            held[r.lang] = held.get(r.lang, 0) + len(t)
             x.append(features(flat))
             langs.append(r.lang)
     return Identifier(np.stack(x) if x else np.zeros((0, 1 << BITS), np.float32), langs, n_families)
@@ -166,7 +168,8 @@ def with_language(docs: DataFrame, keep: list[str], pred: str = "lang_pred", sco
 def identify(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 500, sample_bytes: int = 8_000_000, n_families: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score (0 to 1).
 
-    Learns from rows with a language whose crc32 of the id modulo `modulus` is not `held`, at most per_lang rows and sample_bytes a language.
+    Learns from rows with a language whose crc32 of the id modulo `modulus` is not `held`, at most per_lang ids and sample_bytes a language
+    and the MAX_LANGS commonest languages.
     Only the text is used for a prediction. A null, empty or letterless text is `und` with score 0, as is every text where nothing could be learned.
     Ties go to the language that sorts first. Repeated rows are judged each; an empty table gives no rows; other columns are ignored. No shuffle of texts.
     """

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import judged, ready, remainder_is, require
+from ._common import judged, ready, remainder_is, require, sampled_ids
 from ._ngrams import hashed, windows
 
 BITS = 17
@@ -71,17 +71,17 @@ class Classifier:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int, sample_bytes: int) -> Classifier:
-    """Fit on at most per_class labelled rows of each class, by hash of the id, weighed back to the classes' true shares."""
+    """Fit on at most per_class labelled ids of each class, by hash of the id, weighed back to the classes' true shares. A text that doesn't fit in what is left of sample_bytes is passed over."""
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("q"))
-    known = docs.select("doc_id").distinct().join(marked, "doc_id")
-    w = Window.partitionBy("q").orderBy(F.xxhash64("doc_id", F.lit(41)), "doc_id")
+    known = marked.join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {r.q: r.n for r in known.groupBy("q").agg(F.count("*").alias("n")).collect()}
-    ids = known.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_class).select("doc_id", "q")
+    ids = sampled_ids(known, "doc_id", "q", per_class, 41, 2)
+    docs = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
     rows, held = [], {0: 0, 1: 0}
     for r in docs.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").select("doc_id", "text", "q").toLocalIterator():
         t = (r.text or "").encode()
-        held[r.q] += len(t)
-        if held[r.q] <= sample_bytes:
+        if held[r.q] + len(t) <= sample_bytes:
+            held[r.q] += len(t)
             rows.append((r.doc_id, t, r.q))
     rows.sort(key=lambda x: x[0])
     y = np.asarray([q for _, _, q in rows], int)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from graphbench.llm import attention_lm as lm
+from graphbench.llm._common import sampled_ids
 from graphbench.llm import langid, quality
 from graphbench.llm._common import tokenizer_path
 
@@ -139,6 +140,28 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(one).collect()} == {"xx"}
 
 
+def test_sampled_ids_are_the_least_hashes(spark):
+    """As a plain ranking chooses, with a group that holds most rows, repeated rows and a null group left to the caller."""
+    F = langid.F
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("lang"))
+    rows = rows.unionByName(rows.where("doc_id < 50")).withColumn("h", F.xxhash64("doc_id", F.lit(31)))
+    want = {v: {r.doc_id for r in rows.where(F.col("lang") == v).distinct().orderBy("h").limit(40).collect()} for v in "ab"}
+    got = sampled_ids(rows.drop("h"), "doc_id", "lang", 40, 31, 9).collect()
+    assert len(got) == 80 and {v: {r.doc_id for r in got if r.lang == v} for v in "ab"} == want
+    assert {r.lang for r in sampled_ids(rows, "doc_id", "lang", 40, 31, 1).collect()} == {"a"}
+    assert sampled_ids(rows.limit(0), "doc_id", "lang", 40, 31, 9).collect() == []
+
+
+def test_a_giant_text_does_not_use_up_the_sample(spark):
+    rows = [(0, "z" * 5000, "xx")] + [(i, "abc def ghi", "xx") for i in range(1, 12)] + [(i, "uvw rst opq", "yy") for i in range(20, 32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, sample_bytes=2000).collect()}
+    assert all(got[i] == v for i, _, v in rows[1:])
+    labels = spark.createDataFrame([(i, int(v == "xx")) for i, _, v in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.predicted for r in quality.quality_scores(docs, labels, sample_bytes=2000).collect()}
+    assert all(got[i] == (v == "xx") for i, _, v in rows[1:])
+
+
 def test_families_group_likes():
     m = np.asarray([[1, 0.9, 0], [0.9, 1, 0.1], [0, 0, 1], [0, 0.1, 1]], float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
