@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 import pyarrow  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphbench.llm import decontam, langid, minmax, packing, quality
@@ -29,9 +29,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more. Rows of a null id go."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more. Rows of a null id go; of rows that repeat an id one stays."""
     kept = minmax.near_duplicates(docs, size=5, num=80, den=100).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    if not again.limit(1).count():
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept, again = materialize(kept, "kept"), materialize(again, "repeated")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"]))
+    once = docs.join(again, "doc_id", "left_semi").withColumn("__r", first).where(F.col("__r") == 1).drop("__r")
+    return docs.join(again, "doc_id", "left_anti").unionByName(once).join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,3 +104,11 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, edge, SF).count() <= 3
         assert stage(spark, edge.limit(0), SF).count() == 0
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(5, text, "en", "s", 1)] * 3 + [(7, text + " " + text, None, None, 2), (8, text, "en", "s", 1), (9, None, None, None, None), (9, None, None, None, None), (None, "x", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [5, 7, 9]
