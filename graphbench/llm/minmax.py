@@ -8,13 +8,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import byte_texts, lists, materialize, ragged, ready, require
 from ._components import UnionFind, connected_components
 
 BAND_ROWS = 4
+#: Parts of a group of equal sets, so that no task holds a large group.
+PARTS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,7 +143,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     integers; rows of a null id are left out, rows that repeat an id count once (by the smallest set digest). A null,
     empty or wordless text has an empty set and stays alone. Empty tables give no rows; other columns are ignored.
 
-    Equal sets collapse to their smallest id first. Each distinct set is banded; buckets with the same members
+    Equal sets collapse to their smallest id first, a group in PARTS parts. Each distinct set is banded; buckets with the same members
     are one. Every bucket's members are checked against its smallest member (as many pairs as members), which joins
     large groups at once; only buckets whose members are still in different components go on, in blocks of bounded
     size, where pairs within a component are passed over. Every link is confirmed on full sets.
@@ -152,8 +154,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     sigs = texts.mapInArrow(_signatures(size, bands), "doc_id long, n long, set_a long, set_b long, keys array<long>")
     sigs = materialize(sigs, "signatures")
     one = sigs.groupBy("doc_id").agg(F.min(F.struct("n", "set_a", "set_b")).alias("s")).select("doc_id", "s.*")
-    groups = one.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    member = materialize(one.where("n > 0").join(groups, ["n", "set_a", "set_b"]).select("doc_id", "n", "rep", "set_a"), "members")
+    equal = ["n", "set_a", "set_b"]
+    dealt = one.where("n > 0").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(PARTS)))
+    least = dealt.groupBy(*equal, "part").agg(F.min("doc_id").alias("rep")).withColumn("rep", F.min("rep").over(Window.partitionBy(*equal)))
+    member = materialize(dealt.join(least, [*equal, "part"]).select("doc_id", "n", "rep", "set_a"), "members")
     heads = member.where("doc_id = rep").select("doc_id", "n", "set_a")
     banded = sigs.join(heads, ["doc_id", "n", "set_a"], "left_semi").select("doc_id", "n", F.explode("keys").alias("key")).distinct()
     stats = banded.groupBy("key").agg(F.count("*").alias("k"), F.min("doc_id").alias("pivot"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s2"), F.sum("n").alias("hashes")).where("k > 1")
