@@ -105,7 +105,7 @@ class Packer:
         return ids, positions, edges
 
 
-def pack_matrix(docs: DataFrame, width: int = 2048, path: str | None = None, kind: str = "words", end_id: int = 49407, pad_id: int = 49407, id_col: str = "doc_id", text_col: str = "text", buffer_tokens: int = 4_000_000) -> DataFrame:
+def pack_matrix(docs: DataFrame, width: int = 2048, path: str | None = None, kind: str = "spaced", end_id: int = 50256, pad_id: int = 50256, id_col: str = "doc_id", text_col: str = "text", buffer_tokens: int = 4_000_000) -> DataFrame:
     """One row a sequence: sequence_id, n_tokens, doc_ids, pieces, starts (token offset inside the document),
     cu_seqlens (int array from 0 to n_tokens), ids (width uint16, little-endian, padded) and positions (width uint16, from 0 in each segment and in the padding).
 
@@ -116,7 +116,7 @@ def pack_matrix(docs: DataFrame, width: int = 2048, path: str | None = None, kin
     a row, so a partition wastes the last rows of its last plan only.
     """
     ready(docs.sparkSession)
-    path = path or tokenizer_path("word_bpe_49k.json")
+    path = path or tokenizer_path("byte_bpe_50k.json")
     id_type = docs.schema[id_col].dataType.simpleString()
     id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     kinds = [pa.int64(), pa.int32(), pa.list_(id_kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]

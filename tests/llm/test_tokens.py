@@ -126,6 +126,15 @@ def test_matrix_round_trip(spark, path, kind, end):
             assert pos[a:b].tolist() == list(range(b - a))
 
 
+def test_matrix_holds_the_text_by_default(spark):
+    """Capitals, line breaks and runs of white space come back from the ids."""
+    texts = ["Def F(x):\n\treturn  X\n", "ÄÖ Two  Words\r\n", ""]
+    back = unpack(pack_matrix(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), 2048)
+    lib = _units.library(BYTE)
+    assert [lib.decode(back[i].tolist()[:-1], skip_special_tokens=False) for i in range(3)] == texts
+    assert all(back[i][-1] == 50256 for i in range(3))
+
+
 def brute(doc, items, size=10):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
