@@ -14,6 +14,8 @@ from ._ngrams import hashed, windows
 BITS = 13
 #: Languages that are learned at most, the commonest.
 MAX_LANGS = 1000
+#: A text is unlike its language if its windows' mean log gain is under this part of the usual one, less SHORT / sqrt(bytes of letters).
+CLEAR, SHORT = 0.25, 4.0
 #: A-Z lowered, other ASCII letters and all bytes of other scripts kept, the rest of ASCII a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ASCII = re.compile(rb"[a-z]")
@@ -76,6 +78,12 @@ def families(means: np.ndarray, count: int) -> list[list[int]]:
     return sorted(sorted(g) for g in groups)
 
 
+def log_gain(shares: np.ndarray) -> np.ndarray:
+    """Log of how much commoner each hashed window is in these texts than if all were equally common."""
+    mean = shares.mean(axis=0)
+    return np.log(0.999 * mean * len(mean) / max(float(mean.sum()), 1e-9) + 0.001).astype(np.float32)
+
+
 class Identifier:
     """The learned machines, as one weight matrix."""
 
@@ -100,9 +108,20 @@ class Identifier:
                     self.pairs.append((k, a, b, len(rows)))
                     rows.append(train_svm(x[use], np.where(at[use] == a, 1, -1).astype(np.float32)))
         self.w = np.stack(rows).T.astype(np.float32) if rows else np.zeros(((1 << BITS) + 1, 0), np.float32)
-
-    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """The language of each row and a score: the family's share times the mean share over its pairs."""
+        self.likely = np.zeros((1 << BITS, len(self.langs)), np.float32)
+        self.floor = np.full(len(self.langs), -np.inf)
+        for i in range(len(self.langs)):
+            own = x[at == i] ** 2
+            if len(own) > 1 and (middle := float(np.median(own[1::2] @ log_gain(own[::2])))) > 0:
+                self.floor[i] = CLEAR * middle
+            self.likely[:, i] = log_gain(own)
+
+    def predict(self, x: np.ndarray, slack: np.ndarray | float = 0.0) -> tuple[list[str], np.ndarray]:
+        """The language of each row and a score: the family's share times the mean share over its pairs.
+
+        The machines only compare languages, so one always wins. The score is 0 where the text's windows are less common in
+        the language found than its floor, a part of what is usual for texts of its sample that were left out of the counts.
+        """
         if not self.langs:
             return ["und"] * len(x), np.zeros(len(x))
         squash = lambda m: 1 / (1 + np.exp(-4.0 * np.clip(m, -15, 15)))
@@ -119,6 +138,8 @@ class Identifier:
             share = wins[np.ix_(rows, g)] / max(1, len(g) - 1) if len(g) > 1 else np.ones((len(rows), 1))
             best[rows] = np.asarray(g)[share.argmax(axis=1)]
             score[rows] = fam[rows, k] * share.max(axis=1)
+        gain = np.einsum("ij,ij->i", x * x, self.likely.T[best])
+        score[gain < self.floor[best] - slack] = 0
         return [self.langs[i] for i in best], np.round(np.clip(score, 0, 1), 6)
 
 
@@ -148,13 +169,14 @@ def with_language(docs: DataFrame, keep: list[str], pred: str = "lang_pred", sco
         def judge(texts: list) -> list[pa.Array]:
             found, scores = ["und"] * len(texts), np.zeros(len(texts))
             for at in range(0, len(texts), 256):
-                rows, x = [], []
+                rows, x, sizes = [], [], []
                 for i in range(at, min(at + 256, len(texts))):
                     if flat := letters(texts[i]):
                         rows.append(i)
                         x.append(features(flat))
+                        sizes.append(len(flat))
                 if rows:
-                    langs, s = m.predict(np.stack(x))
+                    langs, s = m.predict(np.stack(x), SHORT / np.sqrt(sizes))
                     scores[rows] = s
                     for i, v in zip(rows, langs, strict=True):
                         found[i] = v
@@ -171,6 +193,7 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 5
     Learns from rows with a language whose crc32 of the id modulo `modulus` is not `held`, at most per_lang ids and sample_bytes a language
     and the MAX_LANGS commonest languages.
     Only the text is used for a prediction. A null, empty or letterless text is `und` with score 0, as is every text where nothing could be learned.
+    A text unlike all that was learned (gibberish, another language) keeps the nearest language with score 0.
     Ties go to the language that sorts first. Repeated rows are judged each; an empty table gives no rows; other columns are ignored. No shuffle of texts.
     """
     out = with_language(docs, [id_col], "lang_pred", "score", modulus, held, per_lang, sample_bytes, n_families, id_col, text_col, lang_col)

@@ -106,6 +106,20 @@ def test_pipeline_stages(spark):
         assert stage(spark, edge.limit(0), SF).count() == 0
 
 
+def test_unclear_languages_go(spark):
+    """Gibberish and languages that were not learned are rejected; nearly all documents of the corpus stay."""
+    r = random.Random(1)
+    junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (10, 50, 300)]
+    unseen = ["mieszkam w dużym mieście i codziennie chodzę do pracy przez park", "мы живем в большом городе и каждый день ходим на работу"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(1_000_000 + i, t, None, None, len(t)) for i, t in enumerate(junk + unseen)], docs.schema)
+    out = dict(corpus_pipeline.STAGES)["language_id"](spark, docs.unionByName(odd), SF)
+    kept = {x.doc_id for x in out.collect()}
+    assert not [i for i in kept if i >= 1_000_000]
+    clean = {x.doc_id for x in docs.collect() if langid.letters((x.text or "").encode())}
+    assert len(kept) >= 0.97 * len(clean)
+
+
 def test_near_dedup_keeps_one_of_repeated_rows(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(5, text, "en", "s", 1)] * 3 + [(7, text + " " + text, None, None, 2), (8, text, "en", "s", 1), (9, None, None, None, None), (9, None, None, None, None), (None, "x", "en", "s", 1)]
