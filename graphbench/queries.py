@@ -225,6 +225,67 @@ def subgraph_extract_edges(spark, d):
     return metrics.subgraph(g.edges(), g.nodes("Nation"), ids, edge_ids)[1]
 
 
+# The same questions over all edges, with the reference's limits: 20 supernodes, 5 levels, 8 hops. DuckDB is too slow for them; brute force on a small graph tests them.
+SUPERNODES, LEVELS, MOST_HOPS = 20, 5, 8
+
+
+@query()
+def trails_1_3_all(spark, d):
+    return expand.trails(symmetric(trade_graph(spark, d).edges()), 1, 3).groupBy("a", "b").agg(F.min("hops").alias("dist"), F.count("*").alias("trails"))
+
+
+@query()
+def reach_1_3_all(spark, d):
+    return expand.reach(symmetric(trade_graph(spark, d).edges()), 3)
+
+
+def _common_all(spark, d):
+    g = trade_graph(spark, d)
+    return expand.same_type_common(symmetric(g.edges()), g.nodes("Part", "Nation", "Region"), 3)
+
+
+@query()
+def same_type_common_all(spark, d):
+    return _common_all(spark, d)
+
+
+@query()
+def best_common_all(spark, d):
+    return expand.best_common(_common_all(spark, d))
+
+
+@query()
+def shortest_hops_all(spark, d):
+    sym = symmetric(trade_graph(spark, d).edges())
+    parts = sym.where("a like 'Part:%'").select(F.col("a").alias("element_id")).distinct()
+    return expand.shortest_paths(sym, parts, MOST_HOPS, parts).select("src", "node", "hops")
+
+
+def _paths_all(spark, d):
+    edges = trade_graph(spark, d).edges()
+    tops = metrics.supernodes(edges, SUPERNODES).select("element_id")
+    return expand.shortest_paths(symmetric(edges), tops, LEVELS, tops).where("src < node")
+
+
+@query()
+def supernode_paths_all(spark, d):
+    return _paths_all(spark, d).select("src", "node", "hops", F.array_join("path", " ").alias("path"))
+
+
+@query()
+def subgraph_extract_nodes_all(spark, d):
+    g = trade_graph(spark, d)
+    ids, edge_ids = expand.path_elements(_paths_all(spark, d))
+    return metrics.subgraph(g.edges(), g.nodes(), ids, edge_ids)[0].select("element_id")
+
+
+@query()
+def subgraph_extract_edges_all(spark, d):
+    g = trade_graph(spark, d)
+    ids, edge_ids = expand.path_elements(_paths_all(spark, d))
+    return metrics.subgraph(g.edges(), g.nodes(), ids, edge_ids)[1]
+
+
 @query(f"with {NODES}, r as (select label, id as element_id, row_number() over (partition by label order by md5(id || '|42'), id) as rank from nodes) select * from r where rank <= 10")
 def sample_per_label(spark, d):
     return metrics.sample_per_label(trade_graph(spark, d).nodes(), 10)

@@ -1,15 +1,17 @@
 """Graph operators on small graphs, the pattern language on a finance graph, and files."""
 
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphbench.catalog import Graph, directed, parse_filter, schema_relationships, symmetric
+from graphbench.catalog import Graph, directed, parse_filter, schema_relationships, symmetric, trade_graph
 from graphbench.functions.retrieval import hash_embedding, vector_topk
 from graphbench.functions.validate import ground_truth
 from graphbench.operators import context, expand, metrics
 from graphbench.plans.pattern import PatternError, match
+from graphbench.queries import QUERIES
 from graphbench.sources import files, generate, graphml
 from graphbench.streaming.degree import windowed_degree
 
@@ -49,6 +51,59 @@ def test_shortest_paths_break_ties_by_id(spark):
     assert n.count() == 4 and e.count() == 4
 
 
+def test_path_queries_cover_all_edges(spark, tmp_path):
+    """Against plain loops on a graph with customers, orders, line items and part keys of 10 and more."""
+    li = [(o, k, p, s, 1.0, 2.0, 0.0, 0.0, "R", "F", datetime.date(2024, 1, 1)) for k, (o, p, s) in enumerate([(1, 3, 1), (1, 12, 1), (2, 12, 2), (3, 40, 2), (3, 3, 2)])]
+    small = {
+        "region": ("r_regionkey long", [(0,)]), "nation": ("n_nationkey long, n_regionkey long", [(0, 0), (1, 0)]), "customer": ("c_custkey long, c_nationkey long", [(1, 0), (2, 1)]),
+        "supplier": ("s_suppkey long, s_nationkey long", [(1, 0), (2, 1)]), "part": ("p_partkey long", [(3,), (12,), (40,)]), "orders": ("o_orderkey long, o_custkey long", [(1, 1), (2, 2), (3, 2)]),
+        "lineitem": ("l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date", li),
+    }
+    for name, (shape, rows) in small.items():
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name, *cols: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*cols).collect())
+    es = [tuple(r) for r in trade_graph(spark, str(tmp_path)).edges().collect()]
+    sym = [(a, b, e) for e, _, a, b in es] + [(b, a, e) for e, _, a, b in es]
+    level, trails = [(a, b, (e,)) for a, b, e in sym], {}
+    for h in (1, 2, 3):
+        for a, b, _ in level:
+            least, n = trails.get((a, b), (h, 0))
+            trails[a, b] = (least, n + 1)
+        level = [(a, c, (*used, e)) for a, b, used in level for x, c, e in sym if x == b and e not in used]
+    assert run("trails_1_3_all", "a", "b", "dist", "trails") == sorted((*k, *v) for k, v in trails.items())
+    near = {k: v[0] for k, v in trails.items() if k[0] != k[1]}
+    assert run("reach_1_3_all", "a", "b", "dist") == sorted((*k, v) for k, v in near.items())
+    direct = {(a, b) for a, b, _ in sym}
+    label = lambda x: x.split(":")[0]
+    pairs = [(a, b, label(a), c, d, near[b, c]) for (a, c), d in near.items() for b in {k[0] for k in near} if a < b and (b, c) in near and (a, b) not in direct and label(a) == label(b) and label(a) in ("Part", "Nation", "Region")]
+    assert run("same_type_common_all", "a", "b", "label", "common", "dist_a", "dist_b") == sorted(pairs)
+    best = {}
+    for a, b, _, c, x, y in pairs:
+        best[a, b] = max(best.get((a, b), ((False, -99, ""),)), ((min(x, y) >= 2, -(x + y), c), x, y))
+    assert run("best_common_all", "a", "b", "common", "dist_a", "dist_b") == sorted((*k, v[0][2], *v[1:]) for k, v in best.items())
+
+    def paths(src, most):
+        found, front = {src: [src]}, {src: [src]}
+        for _ in range(most):
+            step = {}
+            for n, path in front.items():
+                for a, b, e in sym:
+                    if a == n and b not in found:
+                        step[b] = min(step.get(b, [*path, e, b]), [*path, e, b])
+            found, front = found | step, step
+        return {n: p for n, p in found.items() if n != src}
+
+    ids = {a for a, *_ in sym}
+    parts = [i for i in ids if label(i) == "Part"]
+    assert run("shortest_hops_all", "src", "node", "hops") == sorted((p, n, len(w) // 2) for p in parts for n, w in paths(p, 8).items() if n in parts)
+    tops = sorted(ids, key=lambda i: (-sum(a == i for a, *_ in sym), i))[:20]
+    ways = [(a, n, w) for a in tops for n, w in paths(a, 5).items() if n in tops and a < n]
+    assert len(tops) > 6 and run("supernode_paths_all", "src", "node", "hops", "path") == sorted((a, n, len(w) // 2, " ".join(w)) for a, n, w in ways)
+    assert run("subgraph_extract_nodes_all", "element_id") == sorted({(x,) for *_, w in ways for x in w[::2]})
+    used = {x for *_, w in ways for x in w[1::2]}
+    assert run("subgraph_extract_edges_all", "element_id", "type", "src", "dst") == sorted(e for e in es if e[0] in used)
+
+
 def test_far_common_is_preferred(spark):
     sym = symmetric(edges(spark, [("a", "T", "x"), ("x", "T", "c"), ("c", "T", "y"), ("y", "T", "b")]))
     info = spark.createDataFrame([("a", ["L"]), ("b", ["L"])], "element_id string, labels array<string>")
