@@ -149,16 +149,19 @@ def near_pairs(questions: DataFrame, threshold: float = 0.92, text: str = "quest
     return pairs.select("a", "b", "x", "y").mapInPandas(ratio, "a long, b long, ratio double")
 
 
-def greedy_dedup(questions: DataFrame, threshold: float = 0.92, text: str = "question", seq: str = "seq", rounds: int = 100) -> DataFrame:
+def greedy_dedup(questions: DataFrame, threshold: float = 0.92, text: str = "question", seq: str = "seq", rounds: int | None = None) -> DataFrame:
     """Rows accepted in order of seq: not equal and not near to an accepted earlier one; empty texts go.
 
-    Each round accepts rows whose earlier near neighbours are all decided against, and rejects those near an accepted one."""
+    Each round accepts rows whose earlier near neighbours are all decided against, and rejects those near an accepted one.
+    The first undecided row is always decided, so the rounds end; if a bound on them is given and met, that is an error."""
     left = written(exact_dedup(questions, text, seq), "questions")
     edges = written(near_pairs(left, threshold, text, seq), "near")
     state = written(left.select(F.col(seq).alias("s"), F.lit(0).alias("state")), "state")
-    for _ in range(rounds):
-        if state.where("state = 0").isEmpty():
-            break
+    done = 0
+    while not state.where("state = 0").isEmpty():
+        if done == rounds:
+            raise RuntimeError(f"undecided questions after {rounds} rounds")
+        done += 1
         view = edges.join(state.select(F.col("s").alias("b"), F.col("state").alias("before")), "b").groupBy("a").agg(F.max(F.col("before") == 1).alias("near"), F.max(F.col("before") == 0).alias("open"))
         out = state.join(view, state.s == view.a, "left")
         new = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("near", F.lit(False)), F.lit(2)).when(~F.coalesce("open", F.lit(False)), F.lit(1)).otherwise(F.lit(0))

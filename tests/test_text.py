@@ -100,6 +100,17 @@ def test_dedup(spark):
     assert {(r.a, r.b) for r in text.near_pairs(df).collect()} == want
 
 
+def test_dedup_decides_every_question(spark):
+    """In a chain of edits every other question is accepted; none is dropped undecided."""
+    base = "abcdefghijklmnopqrstuvwxy" * 2
+    far = [(k, "".join(chr(0x4E00 + j) for j in range(3 * k)) + base[3 * k :]) for k in range(5)]
+    df = spark.createDataFrame(far, "seq long, question string")
+    assert sorted(r.seq for r in text.greedy_dedup(df).collect()) == [0, 2, 4]
+    with pytest.raises(RuntimeError, match="undecided"):
+        text.greedy_dedup(df, rounds=2)
+
+
+
 def test_chunks(spark):
     t = "para one.\n\n" + "word " * 300 + "\n\nlast\nline " + "z" * 1500
     chunks = text.split_text(t, 600, 100)
