@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, ready
+from ._common import discard, materialize, ready, spread_join
 
 
 class UnionFind:
@@ -46,12 +46,12 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"], dtype="int64")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (a, b): component is the smallest id reachable.
 
     Nulls and self-loops are ignored; ids without a link to another id have no row. Each round is two
-    pre-aggregated minima and two joins; edges are reduced within each batch first and
-    written between rounds, so a lost executor costs one round at most.
+    pre-aggregated minima and two joins, whose hot ids are dealt to parts; edges are reduced within each batch first and
+    written between rounds, so a lost executor costs one round at most. Rounds go on until nothing changes.
     """
     ready(edges.sparkSession)
     clean = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
@@ -60,23 +60,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    seen = state(e)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    seen, now = None, state(e)
+    while now[0] and now != seen:
         sym = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(sym, low, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         done = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = state(done)
         discard(e)
-        e = done
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        e, seen, now = done, now, state(done)
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

@@ -75,7 +75,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int, sample_bytes: int)
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("q"))
     known = marked.join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {r.q: r.n for r in known.groupBy("q").agg(F.count("*").alias("n")).collect()}
-    ids = sampled_ids(known, "doc_id", "q", per_class, 41, 2)
+    ids = sampled_ids(known, "doc_id", "q", per_class, 41)
     docs = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
     rows, held = [], {0: 0, 1: 0}
     for r in docs.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").select("doc_id", "text", "q").toLocalIterator():
