@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,127 +21,170 @@ def cut_lengths(total: int, capacity: int) -> list[int]:
     return [capacity] * (total // capacity) + ([total % capacity] if total % capacity else [])
 
 
+class Index:
+    """Values 1..most that some open bin offers, with the bins that offer them; a bin's offers end when its version moves on."""
+
+    def __init__(self, most: int) -> None:
+        self.mask, self.offers = 0, [[] for _ in range(most + 1)]
+
+    def add(self, value: int, offer: tuple[int, int, int]) -> None:
+        self.offers[value].append(offer)
+        self.mask |= 1 << value
+
+    def largest(self, most: int, version: list[int]) -> int:
+        """The largest value on offer that is at most `most`, or 0."""
+        while left := self.mask & ((2 << most) - 1):
+            value = left.bit_length() - 1
+            offers = self.offers[value]
+            while offers and version[offers[-1][0]] != offers[-1][1]:
+                offers.pop()
+            if offers:
+                return value
+            self.mask ^= 1 << value
+        return 0
+
+
 class Bins:
-    """Bins of item indices, with loads and the bins of each load."""
+    """Bins of item lengths, packed in order of arrival and improved by local search."""
 
     def __init__(self, lengths: np.ndarray, capacity: int) -> None:
-        self.len, self.cap = lengths.tolist(), capacity
-        self.items: list[list[int]] = []
+        self.len, self.cap = np.asarray(lengths, np.int64).tolist(), capacity
+        self.by_size: list[dict[int, list[int]]] = []  # of each bin: length -> items
         self.load: list[int] = []
-
-    def best_fit_decreasing(self) -> Bins:
-        """Largest first, each into the fullest bin that still has room."""
-        by_room: dict[int, list[int]] = defaultdict(list)
-        rooms: list[int] = []
-        for i in sorted(range(len(self.len)), key=lambda i: (-self.len[i], i)):
-            n = self.len[i]
-            at = bisect.bisect_left(rooms, n)
-            if at < len(rooms):
-                room = rooms[at]
-                b = by_room[room].pop()
-                if not by_room[room]:
-                    rooms.pop(at)
-                self.items[b].append(i)
-                self.load[b] += n
-            else:
-                b, room = len(self.items), self.cap
-                self.items.append([i])
-                self.load.append(n)
-            room = self.cap - self.load[b]
-            if room:
-                if not by_room[room]:
-                    bisect.insort(rooms, room)
-                by_room[room].append(b)
+        self.steps = 0
+
+    def next_fit(self) -> Bins:
+        """Items in order of arrival; a bin closes when the next one has no room."""
+        for i, n in enumerate(self.len):
+            if not self.load or self.load[-1] + n > self.cap:
+                self.by_size.append({})
+                self.load.append(0)
+            self._put(i, len(self.load) - 1)
         return self
 
-    def _move(self, i: int, a: int, b: int) -> None:
-        self.items[a].remove(i)
-        self.items[b].append(i)
-        self.load[a] -= self.len[i]
-        self.load[b] += self.len[i]
+    @property
+    def squares(self) -> int:
+        """The sum of squared loads: what every step of the search raises."""
+        return sum(n * n for n in self.load)
 
-    def improve(self, group: int = 48, rounds: int = 20) -> int:
-        """Local search over underfull bins; every accepted step raises the sum of squared loads.
+    @property
+    def count(self) -> int:
+        return sum(n > 0 for n in self.load)
 
-        Bins are taken in groups of the least and the fullest of the underfull, so that each round costs
-        in proportion to their number. A step between bins a (fuller) and b (emptier) moves an item of b to
-        a, exchanges one of a for a larger one of b, or one of a for two of b. Bins that
-        run empty vanish. Returns the number of steps.
+    def _put(self, i: int, b: int) -> None:
+        self.by_size[b].setdefault(self.len[i], []).append(i)
+        self.load[b] += self.len[i]
+
+    def _take(self, size: int, b: int) -> int:
+        held = self.by_size[b][size]
+        i = held.pop()
+        if not held:
+            del self.by_size[b][size]
+        self.load[b] -= size
+        return i
+
+    def improve(self) -> int:
+        """Local search between underfull bins until no step is left; returns the number of steps.
+
+        A step gives the fuller of two bins a net gain and so raises the sum of squared loads: an item moves, one is exchanged for a
+        longer one, one for two longer ones, or two for a longer one. A pass takes the bins from the fullest down, each with the
+        steps that fill it most, out of all bins that are emptier; bins that run empty vanish. Passes go on until one has no step.
+        All lengths and all sums of two that emptier bins offer stand in an index, so a step is found without a look at every bin.
         """
-        steps = 0
-        for _ in range(rounds):
-            open_bins = sorted((b for b in range(len(self.items)) if 0 < self.load[b] < self.cap), key=lambda b: (self.load[b], b))
-            if len(open_bins) < 2 or (sum(self.load[b] for b in open_bins) + self.cap - 1) // self.cap == len(open_bins):
-                break
-            before, half = steps, group // 2
-            low, high = open_bins[: len(open_bins) // 2], open_bins[len(open_bins) // 2 :][::-1]
-            for k in range(0, max(len(low), len(high)), half):
-                steps += self._improve_group(low[k : k + half] + high[k : k + half])
-            if steps == before:
-                break
-        return steps
-
-    def _improve_group(self, bins: list[int]) -> int:
-        steps, again = 0, True
-        while again:
-            again = False
-            bins = sorted((b for b in bins if 0 < self.load[b] < self.cap), key=lambda b: (self.load[b], b))
-            for b in bins:
-                for a in reversed(bins):
-                    if a != b and self.load[a] >= self.load[b] > 0 and self.load[a] < self.cap and self._step(a, b):
-                        steps, again = steps + 1, True
-        return steps
-
-    def _step(self, a: int, b: int) -> bool:
-        """The step that fills a most, from b; false where none raises a's load."""
-        room, size = self.cap - self.load[a], self.len
-        mine, theirs = sorted(self.items[a], key=lambda i: size[i]), sorted(self.items[b], key=lambda i: size[i])
-        theirs_at = [size[i] for i in theirs]
-        best = (0, (), ())
-        at = bisect.bisect_right(theirs_at, room) - 1
-        if at >= 0:
-            best = (theirs_at[at], (), (theirs[at],))
-        for x in mine:
-            if best[0] == room:
+        before = self.steps
+        while self._pass():
+            pass
+        return self.steps - before
+
+    def _pass(self) -> bool:
+        start = self.steps
+        self.version, self.single, self.double = [0] * len(self.load), Index(self.cap), Index(self.cap)
+        heap = [(-n, b) for b, n in enumerate(self.load) if 0 < n < self.cap]
+        heapq.heapify(heap)
+        for _, b in heap:
+            self._offer(b)
+        while heap:
+            n, a = heapq.heappop(heap)
+            if -n != self.load[a]:  # it gave something since
+                if self.load[a]:
+                    heapq.heappush(heap, (-self.load[a], a))
+                continue
+            self.version[a] += 1  # its own offers end
+            while self.load[a] < self.cap and self._step(a):
+                self.steps += 1
+        return self.steps > start
+
+    def _offer(self, b: int) -> None:
+        sizes, v = self.by_size[b], self.version[b]
+        mine = list(sizes)
+        for k, x in enumerate(mine):
+            self.single.add(x, (b, v, 0))
+            if len(sizes[x]) > 1:
+                self.double.add(2 * x, (b, v, x))
+            for y in mine[:k]:
+                self.double.add(x + y, (b, v, x))
+
+    def _step(self, a: int) -> bool:
+        """The step that fills a most; false where none raises its load."""
+        room, mine = self.cap - self.load[a], list(self.by_size[a])
+        best = (0, (), None, 0)  # gain, lengths that leave a, index, value that comes
+
+        def look(leave: tuple, index: Index) -> bool:
+            nonlocal best
+            less = sum(leave)
+            value = index.largest(min(less + room, self.cap), self.version)
+            if value - less > best[0]:
+                best = (value - less, leave, index, value)
+            return best[0] == room
+
+        for leave, index in self._exchanges(a, mine):
+            if look(leave, index):
                 break
-            most = size[x] + room
-            at = bisect.bisect_right(theirs_at, most) - 1
-            if at >= 0 and theirs_at[at] - size[x] > best[0]:
-                best = (theirs_at[at] - size[x], (x,), (theirs[at],))
-            i, j = 0, len(theirs) - 1
-            while i < j:
-                two = theirs_at[i] + theirs_at[j]
-                if two > most:
-                    j -= 1
-                    continue
-                if two - size[x] > best[0]:
-                    best = (two - size[x], (x,), (theirs[i], theirs[j]))
-                i += 1
-        gain, out, come = best
+        gain, leave, index, value = best
         if not gain:
             return False
-        for i in come:
-            self._move(i, b, a)
-        for i in out:
-            self._move(i, a, b)
+        b, _, part = index.offers[value][-1]
+        come = [part, value - part] if index is self.double else [value]
+        coming, leaving = [self._take(n, b) for n in come], [self._take(n, a) for n in leave]
+        for i in coming:
+            self._put(i, a)
+        for i in leaving:
+            self._put(i, b)
+        self.version[b] += 1
+        if self.load[b]:
+            self._offer(b)
         return True
 
+    def _exchanges(self, a: int, mine: list[int]) -> Iterator[tuple[tuple, Index]]:
+        """(lengths that leave, index of what may come): moves, one for one, one for two, two for one."""
+        yield (), self.single
+        for x in mine:
+            yield (x,), self.single
+        for x in mine:
+            yield (x,), self.double
+        for k, x in enumerate(mine):
+            if len(self.by_size[a][x]) > 1:
+                yield (x, x), self.single
+            for y in mine[:k]:
+                yield (x, y), self.single
+
     def placed(self) -> tuple[np.ndarray, np.ndarray]:
         """Bin number and offset of each item."""
         bin_of, offset = np.zeros(len(self.len), np.int64), np.zeros(len(self.len), np.int64)
         number = 0
-        for items in self.items:
+        for sizes in self.by_size:
             at = 0
-            for i in items:
-                bin_of[i], offset[i] = number, at
-                at += self.len[i]
-            number += bool(items)
+            for items in sizes.values():
+                for i in items:
+                    bin_of[i], offset[i] = number, at
+                    at += self.len[i]
+            number += bool(sizes)
         return bin_of, offset
 
 
 def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin number and offset of each length: best fit decreasing, then the local search."""
-    bins = Bins(np.asarray(lengths, np.int64), capacity).best_fit_decreasing()
+    """Bin number and offset of each length: packed as they arrive, then improved by the local search alone."""
+    bins = Bins(lengths, capacity).next_fit()
     bins.improve()
     return bins.placed()
 
@@ -177,7 +219,7 @@ def token_pieces(docs: DataFrame, path: str, kind: str, end_id: int, capacity: i
 
 def _pack_shard(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "row_key", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["row_key", "piece"]).reset_index(drop=True)
         number, offset = pack(pdf["length"].to_numpy(), capacity)
         fill = np.bincount(number, weights=pdf["length"].to_numpy(), minlength=1).astype(np.int64)
         pdf["number"], pdf["offset"], pdf["fill"] = number, offset, fill[number]
@@ -225,4 +267,4 @@ def packed_lists(df: DataFrame) -> DataFrame:
     return g.select("sequence_id", "n_tokens", F.col("s.doc_id").alias("doc_ids"), F.col("s.piece").alias("pieces"))
 
 
-__all__ = ["Bins", "cut_lengths", "pack", "pack_documents", "pack_pieces", "packed_lists", "token_pieces"]
+__all__ = ["Bins", "Index", "cut_lengths", "pack", "pack_documents", "pack_pieces", "packed_lists", "token_pieces"]
