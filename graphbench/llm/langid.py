@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import judged, ready, remainder_is, require, sampled_ids
+from ._common import judged, ragged, ready, remainder_is, require, sampled_ids
 from ._ngrams import hashed, windows
 
 BITS = 13
-#: Languages that are learned at most, the commonest.
-MAX_LANGS = 1000
+#: Texts that the driver learns from at most, shared out evenly among the languages, and the least a language has.
+SAMPLE_TEXTS, LEAST_TEXTS = 20_000, 20
+#: Training sets of at most this many texts are spread out as a matrix (128 MB).
+DENSE_ROWS = 4096
 #: A text is unlike its language if its windows' mean log gain is under this part of the usual one, less SHORT / sqrt(bytes of letters).
 CLEAR, SHORT = 0.25, 4.0
 #: A-Z lowered, other ASCII letters and all bytes of other scripts kept, the rest of ASCII a space.
@@ -36,62 +39,104 @@ def letters(text: bytes | None) -> bytes | None:
     return b" " + b" ".join(flat.split()) + b" "
 
 
-def features(flat: bytes) -> np.ndarray:
-    """Square roots of the shares of hashed 1- to 4-byte windows, of length one."""
+def features(flat: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values): square roots of the shares of hashed 2- to 4-byte windows, of length one; only buckets that occur."""
     a = np.frombuffer(flat, np.uint8)
-    f = np.zeros(1 << BITS, np.float64)
+    f = np.zeros(1 << BITS, np.int64)
     for n in (2, 3, 4):
         c = windows(a, n)
         if len(c):
             f += np.bincount(hashed(c + np.uint32(n), BITS), minlength=1 << BITS)
-    total = f.sum()
-    f = np.sqrt(f / total) if total else f
-    return f.astype(np.float32)
+    at = np.flatnonzero(f)
+    return at.astype(np.uint16), np.sqrt(f[at] / max(1, f.sum())).astype(np.float32)
+
+
+class Rows:
+    """Sparse rows: the buckets and values of each text, one behind the other."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.sizes = np.fromiter((len(i) for i, _ in rows), np.int64, len(rows))
+        self.at = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.uint16)
+        self.values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.float32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def take(self, rows: np.ndarray) -> Rows:
+        out, at = Rows([]), ragged(self.starts[rows], self.sizes[rows])
+        out.sizes, out.at, out.values = self.sizes[rows], self.at[at], self.values[at]
+        out.starts = np.cumsum(out.sizes) - out.sizes
+        return out
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self), 1 << BITS), np.float32)
+        out[np.repeat(np.arange(len(self)), self.sizes), self.at] = self.values
+        return out
 
+    def mean(self, power: int = 1) -> np.ndarray:
+        return np.bincount(self.at, weights=self.values**power, minlength=1 << BITS) / max(1, len(self))
 
-def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, cost: float = 30.0) -> np.ndarray:
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The product with one weight vector."""
+        return np.add.reduceat(np.append(self.values * w[self.at], 0), self.starts) * (self.sizes > 0) if len(self) else np.zeros(0)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """The product of the transpose with one number a row."""
+        return np.bincount(self.at, weights=self.values * np.repeat(g, self.sizes), minlength=1 << BITS)
+
+
+def train_svm(x: Rows, y: np.ndarray, rounds: int = 300, cost: float = 30.0) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, y in {-1, 1}, classes weighed alike; accelerated gradient steps."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    xb = np.hstack((x, np.ones((len(x), 1), np.float32)))
-    v = np.ones(xb.shape[1], np.float32)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    full = x.dense() if len(x) <= DENSE_ROWS else None  # small sets train faster as a matrix
+    times = (lambda w: full @ w[:-1].astype(np.float32) + w[-1]) if full is not None else (lambda w: x.times(w[:-1]) + w[-1])
+    back = (lambda g: np.append(full.T @ g.astype(np.float32), g.sum())) if full is not None else (lambda g: np.append(x.back(g), g.sum()))
+    v = np.ones((1 << BITS) + 1)
     for _ in range(12):  # power steps: the largest curvature
-        v = xb.T @ (share * (xb @ v))
+        v = back(share * times(v))
         top = np.linalg.norm(v)
         v /= top
     rate = 1 / (1 + 2 * cost * top * 1.1)
-    w = look = np.zeros(xb.shape[1], np.float32)
+    w = look = np.zeros((1 << BITS) + 1)
     for k in range(rounds):
-        gap = np.maximum(0, 1 - y * (xb @ look))
-        new = look - rate * (look - 2 * cost * (xb.T @ (share * gap * y)))
+        gap = np.maximum(0, 1 - y * times(look))
+        new = look - rate * (look - 2 * cost * back(share * gap * y))
         w, look = new, new + k / (k + 3) * (new - w)
-    return w
+    return w.astype(np.float32)
 
 
 def families(means: np.ndarray, count: int) -> list[list[int]]:
-    """Languages in `count` groups: the two most alike groups merge first (average cosine)."""
+    """Languages in `count` groups: the two most alike groups merge first (average cosine); ties by the least numbers."""
+    groups, sizes = [[i] for i in range(len(means))], np.ones(len(means))
     sim = means @ means.T
-    groups = [[i] for i in range(len(means))]
-    while len(groups) > count:
-        pairs = [(sim[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
-        _, i, j = max(pairs, key=lambda p: (p[0], -p[1], -p[2]))
-        groups[i] += groups.pop(j)
-    return sorted(sorted(g) for g in groups)
-
-
-def log_gain(shares: np.ndarray) -> np.ndarray:
+    np.fill_diagonal(sim, -np.inf)
+    for _ in range(len(means) - count):
+        i, j = divmod(int(np.argmax(sim)), len(means))
+        sim[i] = (sizes[i] * sim[i] + sizes[j] * sim[j]) / (sizes[i] + sizes[j])
+        sim[i, i] = -np.inf
+        sim[:, i] = sim[i]
+        sim[j], sim[:, j] = -np.inf, -np.inf
+        groups[i], groups[j], sizes[i] = groups[i] + groups[j], [], sizes[i] + sizes[j]
+    return sorted(sorted(g) for g in groups if g)
+
+
+def log_gain(texts: Rows) -> np.ndarray:
     """Log of how much commoner each hashed window is in these texts than if all were equally common."""
-    mean = shares.mean(axis=0)
+    mean = texts.mean(2)
     return np.log(0.999 * mean * len(mean) / max(float(mean.sum()), 1e-9) + 0.001).astype(np.float32)
 
 
 class Identifier:
     """The learned machines, as one weight matrix."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], n_families: int | None = None) -> None:
+    def __init__(self, x: Rows, langs: list[str], n_families: int | None = None) -> None:
         self.langs = sorted(set(langs))
-        at = np.asarray([self.langs.index(v) for v in langs], int)
-        means = np.stack([x[at == i].mean(0) for i in range(len(self.langs))]) if self.langs else np.zeros((0, 1 << BITS))
-        means = means - means.mean(0) if self.langs else means
+        number = {v: i for i, v in enumerate(self.langs)}
+        at = np.asarray([number[v] for v in langs], int)
+        own = [x.take(np.flatnonzero(at == i)) for i in range(len(self.langs))]
+        means = np.stack([r.mean() for r in own]) if own else np.zeros((0, 1 << BITS))
+        means = means - means.mean(0) if own else means
         means /= np.linalg.norm(means, axis=1, keepdims=True) + 1e-9
         self.families = families(means, n_families or max(1, round(len(self.langs) ** 0.5))) if self.langs else []
         family_of = np.zeros(max(1, len(self.langs)), int)
@@ -100,21 +145,23 @@ class Identifier:
         rows, self.family_rows, self.pairs = [], [], []
         for k in range(len(self.families) if len(self.families) > 1 else 0):
             self.family_rows.append(len(rows))
-            rows.append(train_svm(x, np.where(family_of[at] == k, 1, -1).astype(np.float32)))
+            rows.append(train_svm(x, np.where(family_of[at] == k, 1, -1)))
         for k, g in enumerate(self.families):
             for i, a in enumerate(g):
                 for b in g[i + 1 :]:
-                    use = (at == a) | (at == b)
+                    use = np.flatnonzero((at == a) | (at == b))
                     self.pairs.append((k, a, b, len(rows)))
-                    rows.append(train_svm(x[use], np.where(at[use] == a, 1, -1).astype(np.float32)))
-        self.w = np.stack(rows).T.astype(np.float32) if rows else np.zeros(((1 << BITS) + 1, 0), np.float32)
+                    rows.append(train_svm(x.take(use), np.where(at[use] == a, 1, -1)))
+        self.w = np.stack(rows).T if rows else np.zeros(((1 << BITS) + 1, 0), np.float32)
         self.likely = np.zeros((1 << BITS, len(self.langs)), np.float32)
         self.floor = np.full(len(self.langs), -np.inf)
-        for i in range(len(self.langs)):
-            own = x[at == i] ** 2
-            if len(own) > 1 and (middle := float(np.median(own[1::2] @ log_gain(own[::2])))) > 0:
-                self.floor[i] = CLEAR * middle
-            self.likely[:, i] = log_gain(own)
+        for i, r in enumerate(own):
+            if len(r) > 1:
+                half = r.take(np.arange(1, len(r), 2))
+                half.values = half.values**2
+                if (middle := float(np.median(half.times(log_gain(r.take(np.arange(0, len(r), 2))))))) > 0:
+                    self.floor[i] = CLEAR * middle
+            self.likely[:, i] = log_gain(r)
 
     def predict(self, x: np.ndarray, slack: np.ndarray | float = 0.0) -> tuple[list[str], np.ndarray]:
         """The language of each row and a score: the family's share times the mean share over its pairs.
@@ -144,8 +191,15 @@ class Identifier:
 
 
 def learn(docs: DataFrame, per_lang: int, sample_bytes: int, n_families: int | None) -> Identifier:
-    """Fit on at most per_lang ids of each language, by hash of the id; ids are chosen first, texts fetched after. A text that doesn't fit in what is left of sample_bytes is passed over."""
-    ids = sampled_ids(docs.where("lang is not null and doc_id is not null"), "doc_id", "lang", per_lang, 31, MAX_LANGS).select(F.col("doc_id").alias("i"), F.col("lang").alias("l"))
+    """Fit on at most per_lang ids of each language, by hash of the id; ids are chosen first, texts fetched after. A text that doesn't fit in what is left of sample_bytes is passed over.
+
+    With more languages than SAMPLE_TEXTS / per_lang each has an even share of SAMPLE_TEXTS, LEAST_TEXTS at least; none is left out. Each text is kept
+    as its sparse features, some 10 KB at most, so that the driver holds about 200 MB however many texts and languages there are.
+    """
+    known = docs.where("lang is not null and doc_id is not null")
+    n_langs = known.select("lang").distinct().count()
+    per_lang = min(per_lang, max(LEAST_TEXTS, SAMPLE_TEXTS // max(1, n_langs)))
+    ids = sampled_ids(known, "doc_id", "lang", per_lang, 31).select(F.col("doc_id").alias("i"), F.col("lang").alias("l"))
     docs = docs.where(F.octet_length("text") <= sample_bytes)
     x, langs, held = [], [], {}
     for r in docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).orderBy("doc_id", "lang", "text").select("text", "lang").toLocalIterator():
@@ -154,7 +208,7 @@ def learn(docs: DataFrame, per_lang: int, sample_bytes: int, n_families: int | N
             held[r.lang] = held.get(r.lang, 0) + len(t)
             x.append(features(flat))
             langs.append(r.lang)
-    return Identifier(np.stack(x) if x else np.zeros((0, 1 << BITS), np.float32), langs, n_families)
+    return Identifier(Rows(x), langs, n_families)
 
 
 def with_language(docs: DataFrame, keep: list[str], pred: str = "lang_pred", score: str = "score", modulus: int = 4, held: int = 2, per_lang: int = 500, sample_bytes: int = 8_000_000, n_families: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -176,7 +230,7 @@ def with_language(docs: DataFrame, keep: list[str], pred: str = "lang_pred", sco
                         x.append(features(flat))
                         sizes.append(len(flat))
                 if rows:
-                    langs, s = m.predict(np.stack(x), SHORT / np.sqrt(sizes))
+                    langs, s = m.predict(Rows(x).dense(), SHORT / np.sqrt(sizes))
                     scores[rows] = s
                     for i, v in zip(rows, langs, strict=True):
                         found[i] = v
@@ -190,8 +244,8 @@ def with_language(docs: DataFrame, keep: list[str], pred: str = "lang_pred", sco
 def identify(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 500, sample_bytes: int = 8_000_000, n_families: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score (0 to 1).
 
-    Learns from rows with a language whose crc32 of the id modulo `modulus` is not `held`, at most per_lang ids and sample_bytes a language
-    and the MAX_LANGS commonest languages.
+    Learns from rows with a language whose crc32 of the id modulo `modulus` is not `held`, at most per_lang ids (fewer where there are many languages, see learn)
+    and sample_bytes a language. Every language with a text is learned.
     Only the text is used for a prediction. A null, empty or letterless text is `und` with score 0, as is every text where nothing could be learned.
     A text unlike all that was learned (gibberish, another language) keeps the nearest language with score 0.
     Ties go to the language that sorts first. Repeated rows are judged each; an empty table gives no rows; other columns are ignored. No shuffle of texts.
