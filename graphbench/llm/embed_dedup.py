@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, ready, require
+from ._common import discard, materialize, ready, require, spread_join
 from ._components import connected_components
 
 #: Rounding room when the triangle inequality decides that a vector can be left out of a cell.
@@ -30,7 +30,7 @@ def cells_of(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarr
     d2 = np.maximum(0, 2 - 2 * x @ pivots.T)
     home = d2.argmin(axis=1)
     near = d2[np.arange(len(x)), home]
-    gap = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))[home]
+    gap = np.sqrt(np.maximum(0, 2 - 2 * pivots[home] @ pivots.T))
     reach = (np.sqrt(d2) <= np.sqrt(near)[:, None] + 2 * radius + SLACK) & (d2 - near[:, None] <= 2 * radius * gap + SLACK)
     reach[np.arange(len(x)), home] = True
     return home, reach
@@ -76,16 +76,16 @@ def _join(threshold: float, chunk: int = 512):
     return run
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int = 2048, max_pivots: int = 20_000, block_rows: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int = 2048, max_pivots: int = 20_000, block_rows: int = 2048, part_rows: int = 200_000, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept.
 
-    Vectors of equal non-null labels link when their cosine, in double precision, is at least the threshold. Vectors that
-    are null, empty, zero, of another length than most of their label, or hold null or non-finite components link with nothing, as do those of a null
+    Vectors of equal non-null labels and equal length link when their cosine, in double precision, is at least the threshold. Vectors that
+    are null, empty, zero, or hold null or non-finite components link with nothing, as do those of a null
     label. component_id is the smallest vec_id reachable. Rows of a null id are left out; rows that repeat an id
     count once (by the smallest label, then vector). Empty tables give no rows; other columns are ignored.
 
-    Equal vectors of a label collapse first and are counted, not compared. Pivots are a hash sample of about one
-    for cell_rows distinct vectors of each label, max_pivots in all; unit vectors join the cell of their nearest
+    Equal vectors of a label collapse first, a group in parts of about part_rows, told by 128 bits of hash, and are counted, not compared. Pivots are a hash sample of about one
+    for cell_rows distinct vectors of each label, max_pivots and 256 MB in all, where larger tables have larger cells; unit vectors join the cell of their nearest
     pivot, and by the triangle inequality also every cell that may hold a partner. Each cell, in blocks of block_rows, counts the
     links of its home vectors, so no pair is counted twice, none is missed and no pairs are emitted.
     """
@@ -97,14 +97,19 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows:
     fit = F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = materialize(v.withColumn("ok", F.coalesce(fit, F.lit(False))).withColumn("dim", F.size("embedding")), "vectors")
     good = v.where("ok").withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
-    heads = good.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    heads = materialize(heads, "distinct")
-    sizes = {(r["label"], r["dim"]): r["n"] for r in heads.groupBy("label", "dim").agg(F.count("*").alias("n")).limit(max_pivots).collect()}
-    total = sum(sizes.values()) or 1
-
-    share = max(cell_rows, total / max_pivots)
+    equal, parts = ["label", "dim", "h1", "h2"], max(64, -(-v.count() // part_rows))
+    dealt = good.select("vec_id", "label", "dim", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7), "embedding").alias("h2"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(parts)))
+    least = dealt.groupBy(*equal, "part").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    group = Window.partitionBy(*equal)
+    least = least.withColumn("rep", F.min("rep").over(group)).withColumn("copies", F.sum("copies").over(group))
+    member = materialize(dealt.join(least, [*equal, "part"]).select("vec_id", "rep", "copies"), "members")
+    heads = materialize(good.join(member.where("vec_id = rep").drop("rep"), "vec_id").select("label", "dim", "embedding", F.col("vec_id").alias("rep"), "copies"), "distinct")
+    total, dim = heads.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+
+    most = max(1, min(max_pivots, (256 << 20) // (8 * dim)))
     chance = F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    got = heads.where(chance < 1.0 / share).select("label", "dim", "embedding", "rep").orderBy("rep").limit(2 * max_pivots).collect()
+    got = heads.where(chance < 1.0 / max(cell_rows, total / most)).select("label", "dim", "embedding", "rep").orderBy("rep").limit(2 * most).collect()
     table: dict = {}
     for r in got:
         table.setdefault(f"{r['label']}|{r['dim']}", []).append(r["embedding"])
@@ -129,9 +134,12 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows:
     joined = materialize(joined, "joined")
     links = joined.groupBy("vec_id").agg(F.sum("links").alias("links"))
     comps = connected_components(joined.where("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-
-    member = good.join(heads, ["label", "dim", "embedding"]).select("vec_id", "rep", "copies")
-    out = member.join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    found = heads.select("rep").join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    found = materialize(found.select("rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")), "found")
     alone = v.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for done in (heads, cells, joined):
+        discard(done)
+
+    out = spread_join(member, found, ["rep"], "vec_id")
+    out = out.select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
