@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_texts, chunks, ready, require, tokenizer_path
-from ._units import text_encoder
+from ._common import arrow_kind, byte_texts, chunks, ready, require, tokenizer_path
+from ._units import library, text_encoder
 
 
 class RoomTree:
@@ -109,7 +109,7 @@ def pack_matrix(docs: DataFrame, width: int = 2048, path: str | None = None, kin
     """One row a sequence: sequence_id, n_tokens, doc_ids, pieces, starts (token offset inside the document),
     cu_seqlens (int array from 0 to n_tokens), ids (width uint16, little-endian, padded) and positions (width uint16, from 0 in each segment and in the padding).
 
-    The vocabulary must have at most 65,536 ids. Documents end with end_id; those of over width tokens are cut
+    A vocabulary of over 65,536 ids and a width beyond that raise an error. doc_ids may be of any type and null. Documents end with end_id; those of over width tokens are cut
     without loss, so joining a document's segments by piece gives its ids back. Null and empty texts are one
     end_id. Repeated rows are kept; an empty table gives an empty result; other columns are ignored.
     Segments are packed where their texts are read, without a shuffle: each task plans about buffer_tokens at a time and holds back what doesn't fill
@@ -117,8 +117,9 @@ def pack_matrix(docs: DataFrame, width: int = 2048, path: str | None = None, kin
     """
     ready(docs.sparkSession)
     path = path or tokenizer_path("byte_bpe_50k.json")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    if max(library(path).get_vocab_size() - 1, end_id, pad_id, width - 1) > 65_535:
+        raise ValueError("ids and positions must be under 65,536")
+    id_type, id_kind = docs.schema[id_col].dataType.simpleString(), arrow_kind(docs, id_col)
     kinds = [pa.int64(), pa.int32(), pa.list_(id_kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
     names = ["sequence_id", "n_tokens", "doc_ids", "pieces", "starts", "cu_seqlens", "ids", "positions"]
 
