@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from ._units import UnitTable, byte_letters, encode_ids, library, spaced_units,
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def prove_whole_tokens(path: str) -> set[str]:
-    """Vocabulary strings that are one pre-token and encode alone as their own single token."""
+@lru_cache
+def prove_whole_tokens(path: str) -> frozenset[str]:
+    """Vocabulary strings that are one pre-token and encode alone as their own single token; proved once, by the driver."""
     import regex
 
     tok, letters, cut = library(path), byte_letters(), regex.compile(PRETOKEN)
@@ -32,16 +34,16 @@ def prove_whole_tokens(path: str) -> set[str]:
         if cut.fullmatch(text) and cut.match(text).end() == len(text):
             found.append((text, i))
     ids = encode_ids(tok, [t for t, _ in found])
-    return {t for (t, i), got in zip(found, ids, strict=True) if got == [i]}
+    return frozenset(t for (t, i), got in zip(found, ids, strict=True) if got == [i])
 
 
 class Counter:
     """Counts tokens: proved pre-tokens count one, only the rest is merged. Counts are kept by unit."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: frozenset[str]) -> None:
         import regex
 
-        self.tok, self.cut, self.whole = library(path), regex.compile(PRETOKEN), prove_whole_tokens(path)
+        self.tok, self.cut, self.whole = library(path), regex.compile(PRETOKEN), whole
         self.special = [s.encode() for s in special_strings(self.tok)]
         self.table = UnitTable(self._count)
         self.merged = self.direct = 0
@@ -80,9 +82,10 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, proved: Callable[[], frozenset[str]]) -> Counter:
+    """One a process."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, proved())
     return _COUNTERS[path]
 
 
@@ -92,11 +95,12 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, id_
     A null or empty text has 0 bytes and 0 tokens. Repeated rows give repeated rows; a null id stays null;
     an empty table gives an empty result; other columns are ignored. No shuffle.
     """
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     path = path or tokenizer_path("byte_bpe_50k.json")
+    whole = spark.sparkContext.broadcast(prove_whole_tokens(path))  # as many strings as the vocabulary has at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = counter(path, lambda: whole.value)
         for b in batches:
             texts = byte_texts(b.column(1))
             n = c.counts(texts)
