@@ -51,30 +51,32 @@ def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
 
-#: Seconds between a page's capture and its revisit in op9's records.
-REVISIT_AFTER = 5000
+#: Time units between a page's capture, a failed capture and its revisit in op9's records.
+FAILED_AFTER, REVISIT_AFTER = 2500, 5000
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Each page as a full response at time page_id, and as a not-modified revisit REVISIT_AFTER later."""
-    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    """Each page as a full response at time page_id, a failed response FAILED_AFTER later and a not-modified revisit REVISIT_AFTER later.
+
+    Pages whose digest begins with 0 to 7 have an entity tag, all have a date, here made of their length. As record_id the page's id stands for all three."""
+    digest = F.md5("html")
+    tag = F.when(F.substring(digest, 1, 1) < "8", F.concat(F.lit('"'), digest, F.lit('"')))
     length = F.octet_length("html").cast("string")
-    full = pages.select(
-        (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("time"), F.lit("response").alias("kind"),
-        F.create_map(F.lit("ETag"), tag, F.lit("Content-Length"), length, F.lit("Date"), F.col("page_id").cast("string"), F.lit("Server"), F.lit("a")).alias("headers"), F.col("html").alias("body"),
-    )
-    again = pages.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") + REVISIT_AFTER).alias("time"), F.lit("revisit").alias("kind"),
-        F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("Content-Length"), F.lit("0"), F.lit("date"), (F.col("page_id") + REVISIT_AFTER).cast("string"), F.lit("Expires"), F.lit("never")).alias("headers"), F.lit(None).cast("string").alias("body"),
-    )
-    return full.unionByName(again)
+    row = lambda kind, status, later, headers, body: pages.select(F.col("page_id").alias("record_id"), "url", (F.col("page_id") + later).alias("time"), F.lit(kind).alias("kind"), F.lit(status).alias("status"), headers.alias("headers"), body.alias("body"))
+    fields = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
+    none = F.lit(None).cast("string")
+    full = fields(("ETag", tag), ("Last-Modified", length), ("Content-Length", length), ("Date", F.col("page_id").cast("string")), ("Server", F.lit("a")))
+    again = fields(("etag", F.concat(F.lit("W/"), tag)), ("last-modified", length), ("Content-Length", F.lit("0")), ("date", (F.col("page_id") + REVISIT_AFTER).cast("string")), ("Expires", F.lit("never")))
+    failed = row("response", 503, FAILED_AFTER, fields(("Server", F.lit("down"))), F.lit("unavailable"))
+    some = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
+    return row("response", 200, 0, some(full), F.col("html")).unionByName(failed).unionByName(row("revisit", 304, REVISIT_AFTER, some(again), none))
 
 
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.resolve_revisits(page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     h = F.col("headers")
     return r.select(
-        ((F.col("record_id") - 1) / 2).cast("long").alias("page_id"), "canonical_url", (F.col("base_id") / 2).cast("long").alias("base_page_id"), "state",
+        F.col("record_id").alias("page_id"), "canonical_url", F.col("base_id").alias("base_page_id"), "state",
         F.md5("body").alias("body_md5"), h["date"].alias("date"), h["content-length"].alias("content_length"), h["expires"].alias("expires"), h["server"].alias("server"), h["etag"].alias("etag"),
     )
 
@@ -86,10 +88,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_attention_lm, op3_language_id, op4_token_matrix, op5_swap_packing, op6_decontamination, op7_quality, op8_minmax_dedup, op9_warc_revisit, op10_token_counts)}
 
 _CANONICAL = r"""
-  with a as (select page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from pages),
-  b as (select page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), '^(www[.]|m[.])', ''), ':(80|443)$', '') as host, regexp_replace(u, '^[^/?]*', '') as rest from a),
-  c as (select page_id, html, host, regexp_replace(regexp_replace(rest, '([?&])(utm_[^&]*|ref=[^&]*)', '\1', 'g'), '&+', '&', 'g') as rest from b),
-  p as (select page_id, html, md5(html) as h, strlen(html) as n, host || regexp_replace(regexp_replace(regexp_replace(rest, '[?]&', '?', 'g'), '[?&]$', ''), '/$', '') as u from c)
+  with a as (select page_id, html, regexp_replace(trim(url), '#.*$', '') as f from pages),
+  a2 as (select page_id, html, lower(regexp_extract(f, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, regexp_replace(f, '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from a),
+  b as (select page_id, html, scheme, regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), '^www[.]', '') as host, regexp_replace(u, '^[^/?]*', '') as rest from a2),
+  c as (select page_id, html, case when scheme in ('', 'http') then regexp_replace(host, ':80$', '') when scheme = 'https' then regexp_replace(host, ':443$', '') else host end as host, regexp_replace(regexp_replace(rest, '([?&])(utm_[^&]*|ref=[^&]*)', '\1', 'g'), '&+', '&', 'g') as rest from b),
+  p as (select page_id, html, case when substring(md5(html), 1, 1) < '8' then md5(html) end as tag, md5(html) as h, strlen(html) as n, host || regexp_replace(regexp_replace(regexp_replace(rest, '[?]&', '?', 'g'), '[?&]$', ''), '/$', '') as u from c)
 """
 
 ORACLE = {
@@ -118,9 +121,11 @@ ORACLE = {
     "op9_warc_revisit": _CANONICAL
     + f""",
   m as (select q.page_id, max(p.page_id) as base from p q join p on p.u = q.u and p.page_id < q.page_id + {REVISIT_AFTER} group by q.page_id),
-  s as (select q.page_id, q.u as canonical_url, m.base as base_page_id, case when q.u is null then 'no_url' when b.page_id is null then 'no_base' when q.h is null or b.h is null then 'no_validator' when q.h = b.h then 'resolved' else 'mismatch' end as state, b.h, b.n, q.h as qh
+  s as (select q.page_id, q.u as canonical_url, m.base as base_page_id, b.h, b.n, b.tag as btag, q.tag as qtag,
+          case when q.u is null then 'no_url' when b.page_id is null then 'no_base' when q.tag is not null and b.tag is not null then case when q.tag = b.tag then 'resolved' else 'mismatch' end
+               when q.n is not null and b.n is not null then case when q.n = b.n then 'resolved' else 'mismatch' end else 'no_validator' end as state
         from p q left join m on m.page_id = q.page_id left join p b on b.page_id = m.base)
   select page_id, canonical_url, base_page_id, state,
     case when state = 'resolved' then h end as body_md5, case when state = 'resolved' then (page_id + {REVISIT_AFTER})::varchar end as date, case when state = 'resolved' then n::varchar end as content_length,
-    case when state = 'resolved' then 'never' end as expires, case when state = 'resolved' then 'a' end as server, case when state = 'resolved' then 'W/"' || qh || '"' end as etag from s""",
+    case when state = 'resolved' then 'never' end as expires, case when state = 'resolved' then 'a' end as server, case when state = 'resolved' then coalesce('W/"' || qtag || '"', '"' || btag || '"') end as etag from s""",
 }
