@@ -146,10 +146,54 @@ def test_sampled_ids_are_the_least_hashes(spark):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("lang"))
     rows = rows.unionByName(rows.where("doc_id < 50")).withColumn("h", F.xxhash64("doc_id", F.lit(31)))
     want = {v: {r.doc_id for r in rows.where(F.col("lang") == v).distinct().orderBy("h").limit(40).collect()} for v in "ab"}
-    got = sampled_ids(rows.drop("h"), "doc_id", "lang", 40, 31, 9).collect()
+    got = sampled_ids(rows.drop("h"), "doc_id", "lang", 40, 31).collect()
     assert len(got) == 80 and {v: {r.doc_id for r in got if r.lang == v} for v in "ab"} == want
-    assert {r.lang for r in sampled_ids(rows, "doc_id", "lang", 40, 31, 1).collect()} == {"a"}
-    assert sampled_ids(rows.limit(0), "doc_id", "lang", 40, 31, 9).collect() == []
+    assert sorted(sampled_ids(rows.drop("h"), "doc_id", "lang", 40, 31, max_broadcast=1).collect()) == sorted(got)
+    assert sampled_ids(rows.limit(0), "doc_id", "lang", 40, 31).collect() == []
+
+
+def test_languages_of_repeated_ids_are_learned(spark):
+    """A group's size is that of its ids, not of its rows; many small languages are all learned."""
+    rows = [(i, "abc def abd", "en") for i in range(400)] + [(1000 + i, "uvw xyz uvx", "de") for i in range(6) for _ in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang for r in sampled_ids(docs, "doc_id", "lang", 50, 31).select("lang").distinct().collect()} == {"en", "de"}
+    got = {r.lang_pred for r in langid.identify(docs).where("doc_id >= 1000").collect()}
+    assert got == {"de"}
+
+
+def test_predictions_by_a_plain_loop():
+    """Families, machines and score as a loop over one dense row after the other gives them; the sparse machine equals the dense one."""
+    r = np.random.default_rng(0)
+    names = ["aa", "ab", "ba", "bb", "c"]
+    texts = [(v, " ".join("".join(r.choice(list(v + "xyz"[: 1 + k]), 5)) for _ in range(20)).encode()) for k, v in enumerate(names) for _ in range(12)]
+    x = langid.Rows([langid.features(t) for _, t in texts])
+    m = langid.Identifier(x, [v for v, _ in texts])
+    dense = x.dense()
+    assert np.allclose(np.linalg.norm(dense, axis=1), 1, atol=1e-5)
+    got, score = m.predict(dense)
+    for i, row in enumerate(dense):
+        z = row @ m.w[:-1] + m.w[-1]
+        share = lambda v: 1 / (1 + math.exp(-4 * v))
+        fam = [share(z[k]) for k in m.family_rows] or [1.0]
+        k = max(range(len(fam)), key=lambda j: (fam[j], -j))
+        wins = {a: 0.0 for a in m.families[k]}
+        for f, a, b, at in m.pairs:
+            if f == k:
+                wins[a] += share(z[at])
+                wins[b] += 1 - share(z[at])
+        best = max(wins, key=lambda a: (wins[a], -a))
+        want = fam[k] * (wins[best] / (len(wins) - 1) if len(wins) > 1 else 1)
+        if sum(row[j] ** 2 * m.likely[j, best] for j in np.flatnonzero(row)) < m.floor[best]:
+            want = 0
+        assert got[i] == m.langs[best] and score[i] == pytest.approx(want, abs=1e-4)
+    assert np.mean([g == v for g, (v, _) in zip(got, texts)]) > 0.9
+    y = np.where(np.arange(len(x)) % 12 < 6, 1, -1)
+    full = langid.train_svm(x, y, rounds=20)
+    old, langid.DENSE_ROWS = langid.DENSE_ROWS, 0
+    try:
+        assert np.allclose(full, langid.train_svm(x, y, rounds=20), atol=1e-4)
+    finally:
+        langid.DENSE_ROWS = old
 
 
 def test_a_giant_text_does_not_use_up_the_sample(spark):
@@ -168,6 +212,18 @@ def test_families_group_likes():
     assert langid.families(m, 2) == [[0, 1], [2, 3]]
 
 
+def test_quality_by_a_plain_loop():
+    """The mean of learned bucket vectors, then softmax, text by text; ties of two equal classes stay at one half."""
+    texts, y = [b"good text here", b"bad bad bad bad", b"fine words now", b"spam spam spam", b""] * 6, np.asarray([1, 0, 1, 0, 0] * 6)
+    m = quality.Classifier(texts, y, np.ones(len(y)))
+    for t in [*texts[:5], None, b"unseen thing"]:
+        z = sum(float(m.share[b]) for b in quality.buckets(t)) / len(quality.buckets(t)) + m.bias
+        assert m.score(t) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    assert all((m.score(t) >= 0.5) == v for t, v in zip(texts, y))
+    even = quality.Classifier([], np.zeros(0, int), np.zeros(0))
+    assert even.score(b"x") == even.score(None) == 0.5
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in labels.collect()}

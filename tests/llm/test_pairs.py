@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 from graphbench.llm.embed_dedup import cells_of, embedding_duplicates, unit
-from graphbench.llm.minmax import near_duplicates, shingles
+from graphbench.llm._common import spread_join
+from graphbench.llm._components import connected_components
+from graphbench.llm.minmax import MinMax, _digest, near_duplicates, shingles
 
 
 def classes(ids, links):
@@ -78,6 +80,68 @@ def test_chain_and_hidden_pairs(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_repeated_ids_link_by_the_set_that_counts(spark):
+    """Two texts of one length under one id: the one with the smaller digest stands for it, and no link of it is lost."""
+    rnd = random.Random(9)
+    vocab = [f"u{i}" for i in range(5000)]
+    rows, chosen = [], {}
+    for i in range(30):
+        two = [" ".join(rnd.choice(vocab) for _ in range(40)) for _ in range(2)]
+        least = min(two, key=lambda t: _digest(shingles(t.encode(), 3)))
+        chosen[i] = least
+        rows += [(i, t) for t in two]
+        other = least.split()
+        other[0] = "new"
+        rows.append((100 + i, " ".join(other)))
+    rnd.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
+    assert all(got[100 + i] == i == got[i] for i in range(30))
+
+
+def test_large_groups_and_hot_pivots(spark):
+    """Equal copies in many parts, near copies of one text, and strangers that share a passage."""
+    rnd = random.Random(2)
+    words = [f"v{i}" for i in range(120)]
+    rows = [(i, " ".join(words)) for i in range(150)]
+    for i in range(150, 260):
+        w = list(words)
+        w[rnd.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(words[:60] + [f"s{i}_{k}" for k in range(rnd.choice([8, 40]))])) for i in range(260, 330)]
+    sets = word_sets(rows, 3)
+    ids = sorted(sets)
+    want = classes(ids, [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), 3, 85, 100, block=16, part_rows=3)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    with pytest.raises(ValueError, match="integer"):
+        near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_bands_use_four_permutations():
+    m = MinMax(10)
+    h = shingles(b"a b c d e f g h i j", 3)
+    low_high = m.signature(h)
+    half = len(low_high) // 2
+    source = {int(v): k % half for k, v in enumerate(low_high)}
+    v = low_high.reshape(4, 10).copy()
+    v[2:] = np.roll(v[2:], -1, axis=1)
+    assert all(len({source[int(x)] for x in v[:, j]}) == 4 for j in range(10))
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", i % 2) for i in range(300)], "i long, k string, z int")
+    table = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 200, 3)]], "k string, v int")
+    for how in ("inner", "left"):
+        want = sorted(rows.join(table, "k", how).select("i", "k", "z", "v").collect(), key=str)
+        assert sorted(spread_join(rows, table, ["k"], "i", how, least=10).select("i", "k", "z", "v").collect(), key=str) == want
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(1000, 1000), (None, 4), (2000, 1999)], "a long, b long").repartition(7)
+    got = {r.id: r.component for r in connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(401)}, 1999: 1999, 2000: 1999}
+
+
 def test_shingle_edges():
     assert len(shingles(None, 3)) == len(shingles(b" \t", 3)) == 0
     assert len(shingles(b"a b", 3)) == 1

@@ -1,6 +1,7 @@
 """Token counts, packing, matrices and decontamination."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from graphbench.llm import _units, decontam
 from graphbench.llm._common import tokenizer_path
 from graphbench.llm.packing import Bins, pack, pack_documents
-from graphbench.llm.token_count import counter, token_counts
+from graphbench.llm.token_count import counter, prove_whole_tokens, token_counts
 from graphbench.llm.token_matrix import RoomTree, best_fit_decreasing, pack_matrix, unpack
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
@@ -26,7 +27,7 @@ def test_units_equal_library(text):
         want = _units.library(path).encode(text, add_special_tokens=False).ids
         assert _units.text_encoder(path, kind).encode([text.encode()])[0].tolist() == want
         if path == BYTE:
-            assert counter(BYTE).counts([text.encode()]) == [len(want)]
+            assert counter(BYTE, lambda: prove_whole_tokens(BYTE)).counts([text.encode()]) == [len(want)]
 
 
 def test_unit_table_forgets():
@@ -67,15 +68,76 @@ def test_packers(lengths):
         check_bins(lengths if fn is pack else sorted(lengths)[::-1], number, offset, 100)
 
 
-def test_local_search_empties_bins():
-    lengths = np.asarray([50, 50, 34, 33, 33, 40, 40, 20, 60, 40])
-    plain = Bins(lengths, 100)
-    plain.items, plain.load = [[0, 2], [1, 3], [4, 5], [6, 7], [8], [9]], [84, 83, 73, 60, 60, 40]
-    square = sum(x * x for x in plain.load)
-    assert plain.improve() > 0
-    assert sum(x * x for x in plain.load) > square
-    assert sum(x > 0 for x in plain.load) == 4
-    assert sorted(i for b in plain.items for i in b) == list(range(10))
+def squares(bins):
+    return sum(n * n for n in bins.load)
+
+
+def test_local_search_steps():
+    """Moves, one for one, one for two and two for one; each step raises the squares, whose items stay the same."""
+    for lengths, groups in (([50, 30, 20, 10], [[0, 1], [2, 3]]), ([60, 30, 40, 20], [[0, 1], [2, 3]]), ([70, 20, 12, 13], [[0, 1], [2, 3]]), ([10, 15, 60, 40, 5], [[0, 1, 2], [3, 4]])):
+        b = Bins(np.asarray(lengths), 100)
+        for k, g in enumerate(groups):
+            b.by_size.append({})
+            b.load.append(0)
+            for i in g:
+                b._put(i, k)
+        before = squares(b)
+        assert b.improve() == b.steps > 0 and squares(b) == b.squares > before
+        assert sorted(i for sizes in b.by_size for held in sizes.values() for i in held) == list(range(len(lengths)))
+        assert b.improve() == 0
+
+
+def left_steps(bins):
+    """Steps by which the fuller of two underfull bins gains, found by trying all."""
+    open_ = [(n, [x for x, held in s.items() for _ in held]) for s, n in zip(bins.by_size, bins.load) if 0 < n < bins.cap]
+    found = 0
+    for i, (n, mine) in enumerate(open_):
+        for j, (m, theirs) in enumerate(open_):
+            if i == j or n < m or (n == m and i > j):
+                continue
+            out = [(), *[(x,) for x in mine], *itertools.combinations(mine, 2)]
+            come = [*[(x,) for x in theirs], *itertools.combinations(theirs, 2)]
+            found += sum(0 < sum(c) - sum(o) <= bins.cap - n for o in out for c in come if len(o) + len(c) <= 3 and (len(c) == 1 or len(o) == 1))
+    return found
+
+
+def fewest(lengths, cap):
+    """The least number of bins, by trying all."""
+    best = len(lengths)
+
+    def place(i, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if i == len(lengths):
+            best = len(loads)
+            return
+        for k in sorted({loads[k]: k for k in range(len(loads)) if loads[k] + lengths[i] <= cap}.values()):
+            place(i + 1, [*loads[:k], loads[k] + lengths[i], *loads[k + 1 :]])
+        place(i + 1, [*loads, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=9))
+def test_packing_against_all_packings(lengths):
+    """No step is left, and of small sets the search needs one bin more than the best packing at most."""
+    b = Bins(np.asarray(lengths), 60).next_fit()
+    start, before = b.count, squares(b)
+    b.improve()
+    assert left_steps(b) == 0 and squares(b) >= before and b.count <= start
+    assert fewest(sorted(lengths, reverse=True), 60) <= b.count <= fewest(sorted(lengths, reverse=True), 60) + 1
+
+
+def test_search_packs_as_well_as_best_fit_decreasing():
+    r = np.random.default_rng(5)
+    for x in (r.integers(1, 2000, 3000), r.integers(800, 1500, 2000), np.minimum(4096, r.lognormal(6, 1.3, 3000).astype(int) + 1)):
+        b = Bins(x, 4096).next_fit()
+        start = b.count
+        assert b.improve() > 0 and b.count < start
+        assert b.count <= best_fit_decreasing(np.sort(x)[::-1], 4096)[0].max() + 1
 
 
 def test_room_tree():
@@ -106,8 +168,11 @@ def test_pack_documents(spark):
             assert o == at
             at += n
         assert at <= cap
-    assert len(seqs) <= sum(w[3] for w in want) / cap + 6
+    assert len(seqs) <= -(-sum(w[3] for w in want) // cap) + 1
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    odd = spark.createDataFrame([(None, "no id"), (None, None), (3, "x")], "doc_id smallint, text string")
+    assert sorted((r.doc_id or 0, r.length, r.offset) for r in pack_documents(odd).collect())[-1][0] == 3
+    assert len({(r.sequence_id, r.offset) for r in pack_documents(odd).collect()}) == 3
 
 
 @pytest.mark.parametrize(("path", "kind", "end"), [(WORD, "words", 49407), (BYTE, "spaced", 50256)])
@@ -135,6 +200,23 @@ def test_matrix_holds_the_text_by_default(spark):
     assert all(back[i][-1] == 50256 for i in range(3))
 
 
+def test_matrix_edges(spark):
+    """Null, repeated and small ids, an empty table, and a packing no worse than one of all segments at once."""
+    rows = [(None, "a b"), (None, None), (7, "c"), (7, "c")]
+    got = pack_matrix(spark.createDataFrame(rows, "doc_id smallint, text string").coalesce(1), width=16).collect()
+    assert sorted((x is None, x or 0) for r in got for x in r.doc_ids) == [(False, 7), (False, 7), (True, 0), (True, 0)]
+    assert pack_matrix(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    with pytest.raises(ValueError, match="65,536"):
+        pack_matrix(spark.createDataFrame(rows, "doc_id smallint, text string"), end_id=70_000)
+    texts = [(i, "w " * (i * 7 % 40)) for i in range(60)]
+    got = pack_matrix(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), width=64).collect()
+    lib = _units.library(BYTE)
+    sizes = sorted((min(64, n - k) for _, t in texts for n in [len(lib.encode(t, add_special_tokens=False).ids) + 1] for k in range(0, n, 64)), reverse=True)
+    number, offset = best_fit_decreasing(np.asarray(sizes), 64)
+    check_bins(sizes, number, offset, 64)
+    assert len(got) == number.max() + 1 and sum(r.n_tokens for r in got) == sum(sizes)
+
+
 def brute(doc, items, size=10):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -167,7 +249,31 @@ def test_decontamination(spark):
         assert sum(brute(t[s.start : s.end], low)[0] for s in r.spans) == r.n_hit
     assert decontam.decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.decontaminate(df.limit(0), bench).count() == 0
-    for bound in ({"max_items": 3}, {"max_bytes": 40}):
-        with pytest.raises(ValueError, match="scan it in parts"):
-            decontam.decontaminate(df, bench, **bound)
     assert decontam.items_digest([2, 10]) == hashlib.sha256(b"10,2").hexdigest()
+
+
+def test_decontamination_in_shards(spark):
+    """A benchmark beyond the bound is scanned in shards, with long items cut, and gives the same rows."""
+    rnd = __import__("random").Random(3)
+    vocab = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.choice([0, 2, 9, 10, 15, 400])))) for i in range(20)] + [(None, "w1 w2"), (30, None)]
+    docs = [(i, " ".join(rnd.choice(vocab) for _ in range(40)) + " - " + (rnd.choice(items)[1] or "")[:200], "k") for i in range(60)] + [(60, None, "k"), (60, "", "k"), (None, items[5][1], "k")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string, n_hit string"), spark.createDataFrame(items, "item_id smallint, text string")
+    rows = lambda **how: sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, r.items, [(s.start, s.end) for s in r.spans]) for r in decontam.decontaminate(df, bench, **how).collect())
+    whole = rows()
+    known = [(i, t) for i, t in items if i is not None]
+    assert sorted((n, h, i) for _, n, h, i, _ in whole) == sorted(brute(t, known) for _, t, _ in docs)
+    assert rows(shard_bytes=300) == whole == rows(shard_bytes=1000)
+    lists = list(decontam.shards(bench.selectExpr("item_id as i", "text as t").where("i is not null and t is not null"), 300, 10))
+    assert len(lists) > 3
+    cut = {(i, w) for part in lists for i, t in part for w in zip(*(t.split()[k:] for k in range(10)))}
+    assert cut == {(i, w) for i, t in known if t for w in zip(*(t.encode().split()[k:] for k in range(10)))}
+
+
+def test_scanner_words():
+    """Over 65,536 distinct words, and words that only differ at their borders."""
+    words = [f"q{i}" for i in range(70_000)]
+    s = decontam.Scanner([(1, " ".join(words)), (2, "ab c")], 10)
+    assert s.scan(" ".join(words[65_530:65_545]).encode())[1].tolist() == [[0, 15]]
+    assert s.scan(b"a bc abc ab ab c")[1:][0].tolist() == [[4, 6]] and s.scan(b"a bc")[2] == []
+    assert decontam.Scanner([], 10).scan(b"a b")[2] == []
