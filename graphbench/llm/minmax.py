@@ -213,12 +213,13 @@ def _rest(inside: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: i
     Members of the bucket's largest component are dealt to nb blocks, the others to mb blocks. Each of the mb meets each of the nb and each
     of the mb; two members of the largest component need not meet.
     """
-    placed = inside.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = inside.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    placed = materialize(placed, "placed")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
     top = sizes.groupBy("key").agg(F.max(F.struct("c", "h", "component")).alias("top"), F.sum("c").alias("k"), F.sum("h").alias("hashes"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda rows, hashes: F.greatest(F.ceil(rows / block), F.ceil(hashes / block_hashes)).cast("int")
     top = top.select("key", F.col("top.component").alias("main"), blocks(F.col("top.c"), F.col("top.h")).alias("nb"), blocks(F.col("k") - F.col("top.c"), F.col("hashes") - F.col("top.h")).alias("mb"))
-    rest = placed.join(top, "key").withColumn("big", F.col("component") == F.col("main"))
+    rest = spread_join(placed, top, ["key"], "doc_id", least=2_000).withColumn("big", F.col("component") == F.col("main"))
     own = F.pmod(F.xxhash64("doc_id", "key"), F.when(F.col("big"), F.col("nb")).otherwise(F.col("mb"))).cast("int")
     rest = rest.withColumn("own", own)
     place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("bi"), j.alias("bj"), side.cast("int").alias("side"))
