@@ -21,9 +21,10 @@ class Graph:
 
     labels: dict[str, tuple[DataFrame, Column]] = field(default_factory=dict)
     types: dict[str, DataFrame] = field(default_factory=dict)
+    keys: dict[str, str] = field(default_factory=dict)
 
     def add_label(self, label: str, table: DataFrame, key: str) -> Graph:
-        self.labels[label] = (table, element(label, key))
+        self.labels[label], self.keys[label] = (table, element(label, key)), key
         return self
 
     def add_type(self, name: str, edges: DataFrame) -> Graph:
@@ -35,6 +36,13 @@ class Graph:
         table, eid = self.labels[label]
         return table.withColumn("element_id", eid)
 
+    def lookup(self, element_id: str) -> DataFrame:
+        """The typed row of one id: a filter on the label's key column, which reaches the scan. An unknown label is an error, an unknown key no row."""
+        label, _, key = element_id.partition(":")
+        table, eid = self.labels[label]
+        kind = table.schema[self.keys[label]].dataType
+        return table.where(F.col(self.keys[label]) == F.lit(key).try_cast(kind)).withColumn("element_id", eid)
+
     def nodes(self, *labels: str, props: bool = False) -> DataFrame:
         """element_id, labels and, if asked, props_key: the properties as JSON with sorted keys."""
         parts = []
@@ -110,15 +118,14 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return g
 
 
-def geo_core(g: Graph) -> DataFrame:
-    """Places only: a forest."""
-    return g.edges("PART_OF", "LOCATED_IN")
+# Which column names a node of each label of the trading graph.
+NAMES = {"Region": "r_name", "Nation": "n_name", "Customer": "c_name", "Supplier": "s_name", "Part": "p_name", "Order": "o_orderpriority"}
 
 
-def cyclic_core(g: Graph, parts: int = 10) -> DataFrame:
-    """Nations, suppliers and the first parts: small, with cycles."""
-    supplies = g.edges("SUPPLIES").where(F.split("dst", ":")[1].cast("bigint") < parts)
-    return g.edges("PART_OF").unionByName(g.edges("LOCATED_IN").where("src like 'Supplier:%'")).unionByName(supplies)
+def named_nodes(g: Graph, names: dict[str, str] | None = None) -> DataFrame:
+    """element_id, labels, props with the one key name: what texts about a node show of it."""
+    parts = [g.label(label).select("element_id", F.array(F.lit(label)).alias("labels"), F.create_map(F.lit("name"), F.col(c)).alias("props")) for label, c in (names or NAMES).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def schema_relationships(g_nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -22,8 +22,9 @@ def supernodes(edges: DataFrame, n: int = 20, mode: str = "both") -> DataFrame:
 
 
 def anchor_rank(sym: DataFrame, nodes: DataFrame) -> DataFrame:
-    """element_id, degree, variety of every node, zero for isolated ones."""
-    d = sym.groupBy("a").agg(F.count("eid").alias("degree"), F.count_distinct("type").alias("variety")).withColumnRenamed("a", "element_id")
+    """element_id, degree, variety of every node, zero for isolated ones. Edges are counted by node and type first, so no row is expanded."""
+    by = sym.groupBy("a", "type").agg(F.count("eid").alias("n"))
+    d = by.groupBy(F.col("a").alias("element_id")).agg(F.sum("n").alias("degree"), F.count("*").alias("variety"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return nodes.select("element_id").join(d, "element_id", "left").select("element_id", zero("degree"), zero("variety"))
 
