@@ -15,10 +15,18 @@ def first_text(*names: str) -> Column:
     return F.coalesce(*[F.when(F.trim(F.col(n)) != "", F.col(n)) for n in names])
 
 
-def reference(analytic: str = "subgraph-deep-analytics", always_truth: bool = False) -> Column:
-    """What an answer is held against: the reference answer of analytic items, else the ground truth (or its old key)."""
-    truth = F.col("ground_truth")
-    return truth if always_truth else F.when(F.col("complexity") == analytic, F.col("answer_reference")).otherwise(truth)
+ANALYTIC = "subgraph-deep-analytics"
+
+
+def scoring_reference() -> Column:
+    """Which column of an item its answer is held against: the reference answer of analytic items, else the ground truth."""
+    return F.when(F.col("complexity") == ANALYTIC, F.lit("answer")).otherwise(F.lit("ground_truth"))
+
+
+def reference(always_truth: bool = False) -> Column:
+    """That text, trimmed; items: complexity, ground_truth, answer (the reference answer)."""
+    truth = F.coalesce(F.trim("ground_truth"), F.lit(""))
+    return truth if always_truth else F.when(scoring_reference() == "answer", F.coalesce(F.trim("answer"), F.lit(""))).otherwise(truth)
 
 
 def recall_rows(items: DataFrame, truth: str = "ground_truth", answer: str = "answer") -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,18 +48,51 @@ def shrink_prompt(c: Column, ratio: float = 0.6, least: int = 2000) -> Column:
     return F.when(c.isNull(), F.lit("")).when(new >= F.length(c), c).otherwise(cut)
 
 
-def trim_value(c: Column, limit: int = 180) -> Column:
-    return F.left(c, F.lit(limit))
-
-
-def trim_list(c: Column, limit: int = 5) -> Column:
-    return F.slice(c, 1, limit)
+def trim_value(c: Column, kind: str = "string", chars: int = 180, items: int = 5, keys: int = 12) -> Column:
+    """A value cut for a prompt, by its type: long texts lose their middle, lists keep `items`, maps the first `keys` by key; inner values alike."""
+    if kind == "string":
+        return F.when(c.isNotNull(), truncate_middle(c, chars))
+    if kind.startswith("array<"):
+        return F.transform(F.slice(c, 1, items), lambda x: trim_value(x, kind[6:-1], chars, items, keys))
+    if kind.startswith("map<string,"):
+        return F.map_from_entries(F.transform(F.slice(F.array_sort(F.map_entries(c)), 1, keys), lambda e: F.struct(e["key"], trim_value(e["value"], kind[11:-1], chars, items, keys).alias("value"))))
+    return c
 
 
 def last_items(c: Column, n: int = 200) -> Column:
     return F.slice(c, F.greatest(F.lit(1), F.size(c) - (n - 1)), n)
 
 
+def existing_questions(questions: DataFrame, most: int = 200, text: str = "question", seq: str = "seq") -> DataFrame:
+    """One row, block: the last `most` questions that aren't blank, a line each under a heading; empty without questions."""
+    last = questions.where(F.trim(text) != "").orderBy(F.desc(seq), F.desc(text)).limit(most).select(seq, F.trim(text).alias("t"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, "t"))), lambda x: F.concat(F.lit("- "), x["t"])), "\n")
+    return last.agg(F.when(F.count("*") > 0, F.concat(F.lit("ALREADY ASKED (do not repeat or paraphrase):\n"), lines)).otherwise(F.lit("")).alias("block"))
+
+
+def compact_schema(schema_props: DataFrame, most_props: int = 40, most_chars: int = 12_000) -> DataFrame:
+    """One row, schema: JSON of labels and relationship types in order, each with its first `most_props` properties; kind, name, prop come from catalog.schema_properties."""
+    by = schema_props.groupBy("kind", "name").agg(F.slice(F.array_sort(F.collect_set("prop")), 1, most_props).alias("p"))
+    part = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("name").alias("key"), F.struct(F.col("p").alias("properties")).alias("value"))))))
+    return by.agg(truncate_middle(F.to_json(F.struct(part("node").alias("node_labels"), part("relationship").alias("relationship_types"))), most_chars).alias("schema"))
+
+
+def compact_samples(samples: DataFrame, useful, labels: int = 30, rows: int = 3, keys: int = 12, chars: int = 24_000) -> DataFrame:
+    """One row, samples: JSON of each label's first rows with the properties that `useful` keeps, or the first by key where it keeps none; samples: label, rank, props."""
+    first = samples.where(F.col("rank") <= rows)
+    kept = useful(F.col("props"))
+    first = first.select("label", "rank", F.to_json(trim_value(F.when(F.size(kept) > 0, kept).otherwise(F.col("props")), "map<string,string>", keys=keys)).alias("j"))
+    by = first.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "j"))), lambda x: x["j"]), ",").alias("j")).orderBy("label").limit(labels)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "j"))), lambda x: F.concat(F.lit('"'), x["label"], F.lit('":['), x["j"], F.lit("]"))), ",")
+    return by.agg(truncate_middle(F.concat(F.lit("{"), whole, F.lit("}")), chars).alias("samples"))
+
+
+def generation_prompt(schema: Column, samples: Column, asked: Column, task: str, complexity: str) -> Column:
+    """The user prompt of a generator: data first, then the task and the form of the reply."""
+    form = f'Reply with a JSON array of objects with the keys complexity ("{complexity}"), question and cypher.'
+    return F.concat_ws("\n\n", F.concat(F.lit("GRAPH SCHEMA:\n"), schema), F.concat(F.lit("SAMPLES:\n"), samples), F.nullif(asked, F.lit("")), F.lit(f"TASK: {task}"), F.lit(form))
+
+
 def parse_answer_json(c: Column) -> Column:
     """The JSON text of an answer, without a code fence, as VARIANT; an empty array where it can't be parsed."""
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -123,30 +157,41 @@ def exact_dedup(questions: DataFrame, text: str = "question", seq: str = "seq")
     return q.join(first, ["normalized", seq], "left_semi")
 
 
-def near_pairs(questions: DataFrame, threshold: float = 0.92, text: str = "question", seq: str = "seq") -> DataFrame:
+def near_pairs(questions: DataFrame, threshold: float = 0.92, text: str = "question", seq: str = "seq", block: int = 512) -> DataFrame:
     """a (later), b (earlier), ratio >= threshold by the sequence matcher, of rows with normalised text.
 
-    A ratio r needs a length ratio of r / (2 - r) and 2 M / T shared characters; candidates meet in log-length bands, and a
-    bound on shared letters is applied before the exact ratio in Python."""
+    A ratio r needs a length ratio of r / (2 - r), so texts meet in bands of log length only; a band is dealt to blocks of about `block` texts, and
+    blocks meet, not pairs. Within two blocks a bound on the letters in common, for all pairs at once, leaves few pairs to the matcher. None is lost."""
     importable(questions.sparkSession)
     step = -math.log(threshold / (2 - threshold))
-    q = questions.select(F.col(seq).alias("s"), normalize_question(F.col(text)).alias("x")).where("x <> ''")
-    q = q.withColumn("band", F.floor(F.log(F.length("x").cast("double")) / step).cast("int"))
-    older = q.select(F.col("s").alias("b"), F.col("x").alias("y"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    newer = q.select(F.col("s").alias("a"), "x", "band")
-    short, total = F.least(F.length("x"), F.length("y")), F.length("x") + F.length("y")
-    pairs = newer.join(older, "band").where((F.col("b") < F.col("a")) & (2 * short >= threshold * total)).drop("band")
-
-    def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True):
-                m = difflib.SequenceMatcher(None, x, y)
-                if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and (r := m.ratio()) >= threshold:
-                    got.append((a, b, r))
-            yield pd.DataFrame(got, columns=["a", "b", "ratio"]).astype({"a": "int64", "b": "int64", "ratio": "float64"})
-
-    return pairs.select("a", "b", "x", "y").mapInPandas(ratio, "a long, b long, ratio double")
+    q = questions.select(F.col(seq).cast("long").alias("s"), normalize_question(F.col(text)).alias("x")).where("x <> ''")
+    q = written(q.withColumn("band", F.floor(F.log(F.length("x").cast("double")) / step).cast("int")), "normalized")
+    blocks = q.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    own = lambda n: F.pmod(F.xxhash64("s"), n).cast("int")
+    around = q.withColumn("with", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    theirs = around.join(blocks.select(F.col("band").alias("with"), F.col("n").alias("m")), "with").join(blocks, "band")
+    newer = theirs.select("s", "x", F.col("band").alias("ba"), F.col("with").alias("bb"), own(F.col("n")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.lit(True).alias("newer"))
+    older = theirs.select("s", "x", F.col("with").alias("ba"), F.col("band").alias("bb"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), own(F.col("n")).alias("j"), F.lit(False).alias("newer"))
+
+    def letters(texts: pd.Series) -> np.ndarray:
+        out = np.zeros((len(texts), 64), np.int32)
+        for k, t in enumerate(texts):
+            out[k] = np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, minlength=64)
+        return out
+
+    def ratios(pdf: pd.DataFrame) -> pd.DataFrame:
+        new, old = pdf[pdf["newer"]], pdf[~pdf["newer"]]
+        cx, cy, got = letters(new["x"]), letters(old["x"]), []
+        ny, sy, ty = cy.sum(axis=1), old["s"].to_numpy(), old["x"].tolist()
+        for a, x, c in zip(new["s"].tolist(), new["x"], cx, strict=True):
+            maybe = np.flatnonzero((sy < a) & (2 * np.minimum(c, cy).sum(axis=1) >= threshold * (len(x) + ny)))
+            for k in maybe.tolist():
+                m = difflib.SequenceMatcher(None, x, ty[k])
+                if m.quick_ratio() >= threshold and (r := m.ratio()) >= threshold:
+                    got.append((a, sy[k], r))
+        return pd.DataFrame(got, columns=["a", "b", "ratio"]).astype({"a": "int64", "b": "int64", "ratio": "float64"})
+
+    return newer.unionByName(older).groupBy("ba", "bb", "i", "j").applyInPandas(ratios, "a long, b long, ratio double")
 
 
 def greedy_dedup(questions: DataFrame, threshold: float = 0.92, text: str = "question", seq: str = "seq", rounds: int | None = None) -> DataFrame:
@@ -224,5 +269,3 @@ def chunk_fixed(docs: DataFrame, size: int = 600, overlap: int = 100, id_col: st
 
 def join_context(chunks: Column) -> Column:
     return F.array_join(chunks, "\n\n---\n\n")
-
-
