@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from pathlib import Path
-from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,28 +39,46 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return props(nodes, "_id").select(F.col("_id").alias("id"), "props"), props(edges, "_source", "_target").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), "props")
 
 
-def graphml_lines(nodes: Iterable[tuple[str, list[str], dict]], edges: Iterable[tuple[str, str, str, str, dict]], node_keys: list[str], edge_keys: list[str]) -> Iterator[str]:
-    """A document with its keys declared first; nodes: id, labels, props; edges: id, src, dst, type, props. Nulls are empty texts."""
-    yield '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'
-    for kind, names in (("node", ["labels", *node_keys]), ("edge", ["type", *edge_keys])):
-        for n in names:
-            yield f"<key id={quoteattr(f'{kind[0]}_{n}')} for={quoteattr(kind)} attr.name={quoteattr(n)} attr.type=\"string\"/>"
-    yield '<graph edgedefault="directed">'
-    data = lambda kind, props: "".join(f"<data key={quoteattr(f'{kind}_{k}')}>{escape('' if v is None else str(v))}</data>" for k, v in props.items())
-    for i, labels, props in nodes:
-        yield f"<node id={quoteattr(i)}>{data('n', {'labels': ','.join(labels)} | props)}</node>"
-    for i, a, b, t, props in edges:
-        yield f"<edge id={quoteattr(i)} source={quoteattr(a)} target={quoteattr(b)}>{data('e', {'type': t} | props)}</edge>"
-    yield "</graph>\n</graphml>"
+def xml_text(c: Column) -> Column:
+    """Text as XML content or in quotes; null is empty. Control characters that XML can't hold become spaces."""
+    x = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#9;")):
+        x = F.replace(x, F.lit(raw), F.lit(name))
+    return x
+
+
+def graphml_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """section, k, line: a GraphML document as rows, keys declared first; nodes: element_id, labels, props (map); edges: element_id, src, dst, type, props."""
+    spark = nodes.sparkSession
+    attr = lambda name, c: F.concat(F.lit(f' {name}="'), xml_text(c), F.lit('"'))
+    data = lambda kind, props: F.array_join(F.transform(F.array_sort(F.map_entries(props)), lambda e: F.concat(F.lit("<data"), attr("key", F.concat(F.lit(f"{kind}_"), e["key"])), F.lit(">"), xml_text(e["value"]), F.lit("</data>"))), "")
+    none = F.create_map().cast("map<string,string>")
+    n = nodes.select("element_id", F.map_concat(F.create_map(F.lit("labels"), F.array_join("labels", ",")), F.map_filter(F.coalesce("props", none), lambda k, _: k != "labels")).alias("p"))
+    e = edges.select("element_id", "src", "dst", F.map_concat(F.create_map(F.lit("type"), F.col("type")), F.map_filter(F.coalesce("props", none), lambda k, _: k != "type")).alias("p"))
+
+    def keys(df: DataFrame, kind: str) -> DataFrame:
+        names = df.select(F.explode(F.map_keys("p")).alias("name")).distinct()
+        line = F.concat(F.lit("<key"), attr("id", F.concat(F.lit(f"{kind[0]}_"), "name")), F.lit(f' for="{kind}"'), attr("attr.name", F.col("name")), F.lit(' attr.type="string"/>'))
+        return names.select(F.lit(1).alias("section"), F.concat(F.lit(kind), "name").alias("k"), line.alias("line"))
+
+    frame = [(0, "", '<?xml version="1.0" encoding="UTF-8"?>'), (0, "a", '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), (2, "", '<graph edgedefault="directed">'), (5, "", "</graph>"), (6, "", "</graphml>")]
+    out = spark.createDataFrame(frame, "section int, k string, line string").unionByName(keys(n, "node")).unionByName(keys(e, "edge"))
+    node = F.concat(F.lit("<node"), attr("id", F.col("element_id")), F.lit(">"), data("n", F.col("p")), F.lit("</node>"))
+    edge = F.concat(F.lit("<edge"), attr("id", F.col("element_id")), attr("source", F.col("src")), attr("target", F.col("dst")), F.lit(">"), data("e", F.col("p")), F.lit("</edge>"))
+    out = out.unionByName(n.select(F.lit(3).alias("section"), F.col("element_id").alias("k"), node.alias("line")))
+    return out.unionByName(e.select(F.lit(4).alias("section"), F.col("element_id").alias("k"), edge.alias("line")))
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One file, streamed from the driver row by row; nodes: element_id, labels, props (map); edges: element_id, src, dst, type, props."""
-    names = lambda df: sorted(r.k for r in df.select(F.explode(F.map_keys("props")).alias("k")).distinct().collect())
-    rows = ((r.element_id, r.labels, r.props or {}) for r in nodes.toLocalIterator())
-    links = ((r.element_id, r.src, r.dst, r.type, r.props or {}) for r in edges.toLocalIterator())
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(line + "\n" for line in graphml_lines(rows, links, names(nodes), names(edges)))
+    """A folder of text files, written by all tasks: in order of their names they are one GraphML document."""
+    graphml_rows(nodes, edges).orderBy("section", "k").select("line").write.mode("overwrite").text(path)
+
+
+def join_parts(folder: str, path: str) -> None:
+    """The parts of a local folder as one file."""
+    with open(path, "wb") as out:
+        for part in sorted(Path(folder).glob("part-*")):
+            out.write(part.read_bytes())
 
 
 def node_rows(nodes: DataFrame, workspace: str = "base", type_label: bool = True) -> DataFrame:

@@ -18,13 +18,20 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: df as a Parquet table under spark.checkpoint.dir (a temporary folder only where that is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new place under spark.checkpoint.dir; a temporary folder only in local mode, as a cluster's machines share none."""
+    sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphbench-ckpt-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/graphbench/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/graphbench/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: df as a Parquet table in the shared folder."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
