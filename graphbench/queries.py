@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import catalog
-from .catalog import cyclic_core, element, geo_core, symmetric, trade_graph
+from .catalog import element, symmetric, trade_graph
 from .functions import retrieval, score, text, validate
 from .operators import context, expand, metrics
 from .plans.pattern import match
@@ -16,21 +16,17 @@ from .streaming.degree import windowed_degree
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-EDGES = """edges as (
+EDGES = """edges as materialized (
   select 'PART_OF:' || n_nationkey as eid, 'PART_OF' as type, 'Nation:' || n_nationkey as src, 'Region:' || n_regionkey as dst from nation
   union all select 'LOCATED_IN:C' || c_custkey, 'LOCATED_IN', 'Customer:' || c_custkey, 'Nation:' || c_nationkey from customer
   union all select 'LOCATED_IN:S' || s_suppkey, 'LOCATED_IN', 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey from supplier
   union all select 'PLACED:' || o_orderkey, 'PLACED', 'Customer:' || o_custkey, 'Order:' || o_orderkey from orders
   union all select concat_ws(':', 'CONTAINS', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 100)::bigint, round(l_extendedprice * 100)::bigint, round(l_discount * 100)::bigint, round(l_tax * 100)::bigint, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y%m%d')), 'CONTAINS', 'Order:' || l_orderkey, 'Part:' || l_partkey from lineitem
   union all select distinct 'SUPPLIES:' || l_suppkey || ':' || l_partkey, 'SUPPLIES', 'Supplier:' || l_suppkey, 'Part:' || l_partkey from lineitem)"""
-SYM = "sym as (select src as a, dst as b, eid, type from edges union all select dst, src, eid, type from edges where src <> dst)"
+SYM = "sym as materialized (select src as a, dst as b, eid, type from edges union all select dst, src, eid, type from edges where src <> dst)"
 NODES = """nodes as (select 'Region:' || r_regionkey as id, 'Region' as label from region union all select 'Nation:' || n_nationkey, 'Nation' from nation
   union all select 'Customer:' || c_custkey, 'Customer' from customer union all select 'Supplier:' || s_suppkey, 'Supplier' from supplier
   union all select 'Part:' || p_partkey, 'Part' from part union all select 'Order:' || o_orderkey, 'Order' from orders)"""
-CORE = """core as (select * from edges where type = 'PART_OF' or (type = 'LOCATED_IN' and src like 'Supplier:%') or (type = 'SUPPLIES' and split_part(dst, ':', 2)::bigint < 10)),
-  cs as (select src as a, dst as b, eid, type from core union all select dst, src, eid, type from core where src <> dst)"""
-GEO = "geo as (select * from edges where type in ('PART_OF', 'LOCATED_IN')), gs as (select src as a, dst as b, eid, type from geo union all select dst, src, eid, type from geo where src <> dst)"
-
 
 def query(sql: str | None = None):
     def keep(f):
@@ -69,7 +65,11 @@ def schema_rel_types(spark, d):
     return catalog.schema_relationships(g.nodes(), g.edges())
 
 
-@query()
+_PROPS = """select 'node' as kind, case table_name when 'orders' then 'Order' else upper(table_name[1]) || table_name[2:] end as name, column_name as prop, data_type as t from information_schema.columns where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders')
+  union all select 'relationship', 'CONTAINS', column_name, data_type from information_schema.columns where table_name = 'lineitem' and column_name in ('l_quantity', 'l_extendedprice', 'l_discount', 'l_shipdate')"""
+
+
+@query(f"select kind, name, prop, case t when 'INTEGER' then 'int' when 'BIGINT' then 'bigint' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' else t end as type from ({_PROPS})")
 def schema_props(spark, d):
     return catalog.schema_properties(trade_graph(spark, d))
 
@@ -85,35 +85,43 @@ def incident_type_sets(spark, d):
     return metrics.incident_types(symmetric(trade_graph(spark, d).edges())).select("element_id", F.array_join("types", ",").alias("types"))
 
 
-@query(f"with {EDGES}, {GEO}, {NODES}, r as (select id as anchor, type as rel_type, b as neighbour, eid, row_number() over (partition by id order by type, b, eid) as rank from nodes left join gs on a = id where label in ('Nation', 'Region')) select anchor, rel_type, neighbour, eid, rank from r where rank <= 28")
+@query(f"with {EDGES}, {SYM}, {NODES}, r as (select id as anchor, type as rel_type, b as neighbour, eid, row_number() over (partition by id order by type, b, eid) as rank from nodes left join sym on a = id where label in ('Nation', 'Region')) select anchor, rel_type, neighbour, eid, rank from r where rank <= 28")
 def hop1_neighbors(spark, d):
     g = trade_graph(spark, d)
-    return expand.hop1(symmetric(geo_core(g)), g.nodes("Nation", "Region"), 28)
+    return expand.hop1(symmetric(g.edges()), g.nodes("Nation", "Region"), 28)
 
 
-@query(f"with {EDGES}, {GEO} select x.a as anchor, x.type as rel_type_1, y.type as rel_type_2, count(*) as chains, count(distinct y.b) as ends from gs x join gs y on x.b = y.a and x.eid <> y.eid group by all")
+@query(f"with {EDGES}, {SYM}, {NODES}, c as (select x.a as anchor, x.type as rel_type_1, y.type as rel_type_2, count(*) as chains from sym x join sym y on x.b = y.a and x.eid <> y.eid group by all) select id as anchor, rel_type_1, rel_type_2, coalesce(chains, 0) as chains from nodes left join c on anchor = id")
 def hop2_chains(spark, d):
     g = trade_graph(spark, d)
-    return expand.hop2(symmetric(geo_core(g)), g.nodes("Region", "Nation", "Customer", "Supplier")).groupBy("anchor", "rel_type_1", "rel_type_2").agg(F.count("*").alias("chains"), F.count_distinct("end").alias("ends"))
+    return expand.chain_counts(symmetric(g.edges()), g.nodes())
 
 
-@query("""with c as (select n_nationkey as n, string_agg(distinct c_name, '|' order by c_name) as customers from nation join customer on c_nationkey = n_nationkey group by 1), s as (select n_nationkey as n, string_agg(distinct s_name, '|' order by s_name) as suppliers from nation join supplier on s_nationkey = n_nationkey group by 1)
-  select 'Nation:' || n as anchor, md5(customers) as customers, md5(suppliers) as suppliers from c join s using (n)""")
+@query(f"with {EDGES}, {SYM}, {NODES}, k as (select x.a as anchor, x.type as t1, x.eid as e1, y.type as t2, y.eid as e2, y.b as stop from sym x join sym y on x.b = y.a and x.eid <> y.eid where x.a like 'Region:%') select id as anchor, t1 as rel_type_1, t2 as rel_type_2, stop as end, count(e2) as chains from nodes left join k on anchor = id where label = 'Region' group by all")
+def hop2_optional(spark, d):
+    """Every optional chain of the regions, one row a far end."""
+    g = trade_graph(spark, d)
+    return expand.hop2(symmetric(g.edges()), g.nodes("Region")).groupBy("anchor", "rel_type_1", "rel_type_2", "end").agg(F.count("eid_2").alias("chains"))
+
+
+@query("""with c as (select distinct 'Nation:' || c_nationkey as anchor, 'a' as branch, c_name as value from customer join nation on n_nationkey = c_nationkey), s as (select distinct 'Nation:' || s_nationkey as anchor, 'b' as branch, s_name as value from supplier join nation on n_nationkey = s_nationkey)
+  select * from c where anchor in (select anchor from s) union all select * from s where anchor in (select anchor from c)""")
 def cross_branch(spark, d):
+    return _branches(spark, d)
+
+
+def _branches(spark, d):
     g = trade_graph(spark, d)
     sym, nations = symmetric(g.edges("LOCATED_IN")), g.nodes("Nation")
     named = lambda label, name: expand.typed_hop(sym, "LOCATED_IN", nations, g.nodes(label)).join(g.label(label).select(F.col("element_id").alias("far"), F.col(name).alias("name")), "far")
-    both = expand.two_branches(named("Customer", "c_name"), named("Supplier", "s_name"), "far", "name")
-    digest = lambda c: F.md5(F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["value"]))), "|"))
-    return both.select("anchor", digest("values_a").alias("customers"), digest("values_b").alias("suppliers"))
+    return expand.two_branches(named("Customer", "c_name"), named("Supplier", "s_name"), "name")
 
 
-@query()
-def cross_branch_items(spark, d):
-    g = trade_graph(spark, d)
-    rels = catalog.schema_relationships(g.nodes(), g.edges())
-    pairs = context.branch_pairs(rels, rels.selectExpr("label", "rel_type", "other_label as end_label").distinct())
-    return pairs.withColumn("masked_a", context.mask(F.col("end_a"), F.col("type_a"))).withColumn("masked_b", context.mask(F.col("end_b"), F.col("type_b")))
+@query("""with c as (select c_nationkey as n, c_name as v, row_number() over (partition by c_nationkey order by c_name) as r from (select distinct c_nationkey, c_name from customer)), s as (select s_nationkey as n, s_name as v, row_number() over (partition by s_nationkey order by s_name) as r from (select distinct s_nationkey, s_name from supplier)),
+  x as (select n, string_agg(v, ', ' order by v) as a from c where r <= 20 group by 1), y as (select n, string_agg(v, ', ' order by v) as b from s where r <= 20 group by 1) select 'Nation:' || n as anchor, a as values_a, b as values_b from x join y using (n)""")
+def cross_branch_lists(spark, d):
+    """The first 20 values of each branch, as a prompt shows them."""
+    return expand.branch_lists(_branches(spark, d), 20).select("anchor", F.array_join("values_a", ", ").alias("values_a"), F.array_join("values_b", ", ").alias("values_b"))
 
 
 @query("select r_name as region, count(o_orderkey) as orders, count(distinct c_custkey) as customers from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey group by 1")
@@ -146,144 +154,180 @@ def union_distinct(spark, d):
     return match(trade_graph(spark, d), "MATCH (r:Region) RETURN r.r_name AS name UNION MATCH (n:Nation) WHERE n.n_name CONTAINS 'A' RETURN n.n_name AS name", auto_limit=5)
 
 
-@query(f"""with {EDGES}, {CORE},
-  t as (select a, b, 1 as d from cs union all select x.a, y.b, 2 from cs x join cs y on x.b = y.a and x.eid <> y.eid
-        union all select x.a, z.b, 3 from cs x join cs y on x.b = y.a and x.eid <> y.eid join cs z on y.b = z.a and z.eid <> x.eid and z.eid <> y.eid)
-  select a, b, min(d) as dist, count(*) as trails from t group by a, b""")
+@query(f"""with {EDGES}, {SYM}, deg as materialized (select a, count(*) as d from sym group by a),
+  t as (select x.a, count(*) as n2, sum(d - 1 - (y.b = x.a or y.b = x.b)::int) as n3 from sym x join sym y on y.a = x.b and y.eid <> x.eid join deg on deg.a = y.b group by x.a)
+  select deg.a, d as trails_1, coalesce(n2, 0)::bigint as trails_2, coalesce(n3, 0)::bigint as trails_3 from deg left join t on t.a = deg.a""")
 def trails_1_3(spark, d):
-    return expand.trails(symmetric(cyclic_core(trade_graph(spark, d))), 1, 3).groupBy("a", "b").agg(F.min("hops").alias("dist"), F.count("*").alias("trails"))
+    return expand.trail_counts(symmetric(trade_graph(spark, d).edges()))
 
 
-_REACH = """r as (select a, b, min(d) as dist from (select a, b, 1 as d from cs union all select x.a, y.b, 2 from cs x join cs y on x.b = y.a and x.eid <> y.eid
-        union all select x.a, z.b, 3 from cs x join cs y on x.b = y.a and x.eid <> y.eid join cs z on y.b = z.a and z.eid <> x.eid and z.eid <> y.eid) where a <> b group by a, b)"""
-_PAIRS = """p as (select x.a, y.a as b, x.l as label, x.b as common, x.dist as dist_a, y.dist as dist_b from (select *, split_part(a, ':', 1) as l from r) x join (select *, split_part(a, ':', 1) as l from r) y on x.b = y.b and x.l = y.l and x.a < y.a
-        where not exists (select 1 from cs where cs.a = x.a and cs.b = y.a))"""
+#: Distances of a set of nodes to all others, by levels of distinct pairs.
+def _reach_sql(sources: str) -> str:
+    return f"""r1 as materialized (select distinct a, b from sym where a <> b and ({sources})),
+  r2 as materialized (select distinct x.a, y.b from r1 x join sym y on y.a = x.b where y.b <> x.a and not exists (select 1 from r1 where r1.a = x.a and r1.b = y.b)),
+  r3 as materialized (select distinct x.a, y.b from r2 x join sym y on y.a = x.b where y.b <> x.a and not exists (select 1 from r1 where r1.a = x.a and r1.b = y.b) and not exists (select 1 from r2 where r2.a = x.a and r2.b = y.b)),
+  r as materialized (select a, b, 1 as dist from r1 union all select a, b, 2 from r2 union all select a, b, 3 from r3)"""
 
 
-@query(f"with {EDGES}, {CORE}, {_REACH} select a, b, dist from r")
+@query(f"with {EDGES}, {SYM}, {_reach_sql("a like 'Nation:%' or a like 'Region:%'")} select a, split_part(b, ':', 1) as label, dist, count(*) as n from r group by all")
 def reach_1_3(spark, d):
-    return expand.reach(symmetric(cyclic_core(trade_graph(spark, d))), 3)
+    g = trade_graph(spark, d)
+    return expand.reach(symmetric(g.edges()), 3, g.nodes("Nation", "Region")).groupBy("a", F.split("b", ":")[0].alias("label"), "dist").agg(F.count("*").alias("n"))
+
+
+_PAIRS = f"""{_reach_sql("a like 'Nation:%' or a like 'Region:%'")}, p as materialized (select x.a, y.a as b, x.l as label, x.b as common, x.dist as dist_a, y.dist as dist_b from (select *, split_part(a, ':', 1) as l from r) x join (select *, split_part(a, ':', 1) as l from r) y on x.b = y.b and x.l = y.l and x.a < y.a
+        where not exists (select 1 from sym where sym.a = x.a and sym.b = y.a))"""
 
 
 def _common(spark, d):
     g = trade_graph(spark, d)
-    return expand.same_type_common(symmetric(cyclic_core(g)), g.nodes("Part", "Nation", "Region"), 3)
+    return expand.same_type_common(symmetric(g.edges()), g.nodes("Nation", "Region"), 3)
 
 
-@query(f"with {EDGES}, {CORE}, {_REACH}, {_PAIRS} select * from p where label in ('Part', 'Nation', 'Region')")
+@query(f"with {EDGES}, {SYM}, {_PAIRS} select a, b, label, dist_a, dist_b, count(*) as commons from p group by all")
 def same_type_common(spark, d):
-    return _common(spark, d)
+    return expand.common_counts(_common(spark, d))
 
 
-@query(f"""with {EDGES}, {CORE}, {_REACH}, {_PAIRS}, k as (select *, row_number() over (partition by a, b order by least(dist_a, dist_b) >= 2 desc, dist_a + dist_b, common desc) as n from p where label in ('Part', 'Nation', 'Region'))
-  select a, b, common, dist_a, dist_b from k where n = 1""")
-def best_common(spark, d):
-    return expand.best_common(_common(spark, d))
+_BEST = "k as (select *, row_number() over (partition by a, b order by least(dist_a, dist_b) >= 2 desc, dist_a + dist_b, common desc) as n from p)"
 
 
-@query(f"""with recursive {EDGES}, {CORE}, w as (select id as src, id as node, 0 as hops from (select distinct a as id from cs where a like 'Part:%') union select w.src, cs.b, w.hops + 1 from w join cs on cs.a = w.node where w.hops < 6)
-  select src, node, min(hops) as hops from w where src <> node and node like 'Part:%' group by src, node""")
-def shortest_hops(spark, d):
-    sym = symmetric(cyclic_core(trade_graph(spark, d)))
-    parts = sym.where("a like 'Part:%'").select(F.col("a").alias("element_id")).distinct()
-    return expand.shortest_paths(sym, parts, 6, parts).select("src", "node", "hops")
+@query(f"with {EDGES}, {SYM}, {_PAIRS}, {_BEST} select a, b, common, dist_a, dist_b from k where n = 1")
+def best_common(spark, d):
+    return expand.best_common(_common(spark, d))
 
 
-def _levels(n: int) -> str:
-    out = ["l0 as (select id as src, id as node, [id] as path, 0 as hops from s), v0 as (select src, node from l0)"]
+def _levels(n: int, pairs: str) -> str:
+    """Breadth first over sym for the pairs (src, node) of a table: levels with their smallest paths; a source with no open pair goes no further."""
+    out = ["l0 as materialized (select id as src, id as node, [id] as path, []::varchar[] as types, 0 as hops from (select distinct src as id from pr)), v0 as (select src, node from l0)".replace("pr)", f"{pairs})")]
     for h in range(1, n + 1):
-        out.append(f"l{h} as (select l.src, cs.b as node, min(list_concat(l.path, [cs.eid, cs.b])) as path, {h} as hops from l{h - 1} l join cs on cs.a = l.node where not exists (select 1 from v{h - 1} v where v.src = l.src and v.node = cs.b) group by l.src, cs.b), v{h} as (select * from v{h - 1} union all select src, node from l{h})")
+        out.append(f"""o{h} as materialized (select distinct src from {pairs} p where not exists (select 1 from v{h - 1} v where v.src = p.src and v.node = p.node)),
+  m{h} as materialized (select l.src, sym.b as node, min({{'p': list_concat(l.path, [sym.eid, sym.b]), 't': list_append(l.types, sym.type)}}) as x from l{h - 1} l join o{h} on o{h}.src = l.src join sym on sym.a = l.node where not exists (select 1 from v{h - 1} v where v.src = l.src and v.node = sym.b) group by l.src, sym.b),
+  l{h} as materialized (select src, node, x.p as path, x.t as types, {h} as hops from m{h}), v{h} as materialized (select * from v{h - 1} union all select src, node from l{h})""")
+    out.append(f"bfs as materialized ({' union all '.join(f'select * from l{h}' for h in range(1, n + 1))})")
     return ", ".join(out)
 
 
-_SUB = f"with {EDGES}, {CORE}, s as (select a as id from cs group by a order by count(*) desc, a limit 6), {_levels(4)}, q as (select p.src, p.node, p.hops, p.path from ({' union all '.join(f'select * from l{h}' for h in range(1, 5))}) p join s on s.id = p.node where p.src < p.node), e as (select unnest(path) as x, unnest(range(len(path))) as i from q)"
+#: The limits of an extraction: supernodes, pairs, levels, paths of a pair, hops of a shortest path.
+SUPERNODES, PAIRS, LEVELS, PATHS, HOPS = 20, 50, 5, 25, 8
 
+_ENDS = "pr as materialized (select n.id as src, p.id as node from nodes n, nodes p where n.label = 'Nation' and p.label = 'Part')"
 
-def _paths(spark, d):
+
+@query(f"with {EDGES}, {SYM}, {NODES}, {_ENDS}, {_levels(HOPS, 'pr')} select src, node, hops from bfs where node like 'Part:%'")
+def shortest_hops(spark, d):
     g = trade_graph(spark, d)
-    sym = symmetric(cyclic_core(g))
-    tops = metrics.supernodes(cyclic_core(g), 6).select("element_id")
-    return expand.shortest_paths(sym, tops, 4, tops).where("src < node")
+    return expand.shortest_paths(symmetric(g.edges()), g.nodes("Nation"), HOPS, g.nodes("Part")).select("src", "node", "hops")
 
 
-@query(f"{_SUB} select src, node, hops, array_to_string(path, ' ') as path from q")
-def supernode_paths(spark, d):
-    return _paths(spark, d).select("src", "node", "hops", F.array_join("path", " ").alias("path"))
+_HINTS = "pr as materialized (select n.id as src, p.id as node from nodes n, nodes p where n.label = 'Region' and p.label = 'Supplier')"
 
 
-@query(f"{_SUB} select distinct x as element_id from e where i % 2 = 0")
-def subgraph_extract_nodes(spark, d):
+@query(f"with {EDGES}, {SYM}, {NODES}, {_HINTS}, {_levels(HOPS, 'pr')} select src, node, array_to_string(types, ' ') as types, hops || ' рёбер: ' || array_to_string(types, ' → ') as hint from bfs where node like 'Supplier:%'")
+def path_hints(spark, d):
+    """The types along the shortest paths from regions to suppliers, and how a prompt tells them."""
     g = trade_graph(spark, d)
-    ids, edge_ids = expand.path_elements(_paths(spark, d))
-    return metrics.subgraph(g.edges(), g.nodes("Region", "Nation", "Supplier", "Part"), ids, edge_ids)[0].select("element_id")
+    p = expand.shortest_paths(symmetric(g.edges()), g.nodes("Region"), HOPS, g.nodes("Supplier"))
+    return p.select("src", "node", F.array_join("types", " ").alias("types"), expand.path_hint(F.col("hops"), F.col("types")).alias("hint"))
 
 
-@query(f"{_SUB} select eid as element_id, type, src, dst from edges where eid in (select x from e where i % 2 = 1)")
-def subgraph_extract_edges(spark, d):
-    g = trade_graph(spark, d)
-    ids, edge_ids = expand.path_elements(_paths(spark, d))
-    return metrics.subgraph(g.edges(), g.nodes("Nation"), ids, edge_ids)[1]
+_TOPS = f"tops as materialized (select a as id, row_number() over (order by count(*) desc, a) as pos from sym group by a order by pos limit {SUPERNODES})"
+_SAMPLED = f"pr as materialized (select least(x.id, y.id) as src, greatest(x.id, y.id) as node from tops x join tops y on x.pos < y.pos order by md5(concat_ws('|', '42', least(x.id, y.id), greatest(x.id, y.id))), 1, 2 limit {PAIRS})"
+_SUB = f"with {EDGES}, {SYM}, {_TOPS}, {_SAMPLED}, {_levels(LEVELS, 'pr')}, q as materialized (select b.src, b.node, b.hops, b.path from bfs b join pr on pr.src = b.src and pr.node = b.node), e as materialized (select distinct unnest(path) as x from q union select id from tops)"
 
 
-# The same questions over all edges, with the reference's limits: 20 supernodes, 5 levels, 8 hops. DuckDB is too slow for them; brute force on a small graph tests them.
-SUPERNODES, LEVELS, MOST_HOPS = 20, 5, 8
+def _tops(g):
+    w = Window.orderBy(F.desc("degree"), "element_id")  # as many rows as there are supernodes
+    return metrics.supernodes(g.edges(), SUPERNODES).withColumn("pos", F.row_number().over(w))
 
 
-@query()
-def trails_1_3_all(spark, d):
-    return expand.trails(symmetric(trade_graph(spark, d).edges()), 1, 3).groupBy("a", "b").agg(F.min("hops").alias("dist"), F.count("*").alias("trails"))
+def _sampled(g):
+    return expand.node_pairs(_tops(g), PAIRS, "sample", 42)
 
 
-@query()
-def reach_1_3_all(spark, d):
-    return expand.reach(symmetric(trade_graph(spark, d).edges()), 3)
+def _paths(g):
+    return expand.expand_pairs(symmetric(g.edges()), _sampled(g), LEVELS, PATHS)
 
 
-def _common_all(spark, d):
-    g = trade_graph(spark, d)
-    return expand.same_type_common(symmetric(g.edges()), g.nodes("Part", "Nation", "Region"), 3)
+@query(f"with {EDGES}, {SYM}, {_TOPS} select x.id as a, y.id as b from tops x join tops y on x.pos < y.pos order by x.pos, y.pos limit {PAIRS}")
+def pairs_all(spark, d):
+    return expand.node_pairs(_tops(trade_graph(spark, d)), PAIRS, "all")
 
 
-@query()
-def same_type_common_all(spark, d):
-    return _common_all(spark, d)
+@query(f"with {EDGES}, {SYM}, {_TOPS}, {_SAMPLED} select src as a, node as b from pr")
+def pairs_sampled(spark, d):
+    return _sampled(trade_graph(spark, d))
 
 
-@query()
-def best_common_all(spark, d):
-    return expand.best_common(_common_all(spark, d))
+@query(f"{_SUB} select src, node, hops, array_to_string(path, ' ') as path from q")
+def supernode_paths(spark, d):
+    return _paths(trade_graph(spark, d)).select("src", "node", "hops", F.array_join("path", " ").alias("path"))
 
 
-@query()
-def shortest_hops_all(spark, d):
-    sym = symmetric(trade_graph(spark, d).edges())
-    parts = sym.where("a like 'Part:%'").select(F.col("a").alias("element_id")).distinct()
-    return expand.shortest_paths(sym, parts, MOST_HOPS, parts).select("src", "node", "hops")
+def _extract(spark, d):
+    """Supernodes, pairs, paths, and the nodes and edges of the subgraph with the supernodes themselves."""
+    g = trade_graph(spark, d)
+    paths = _paths(g)
+    ids, edge_ids = expand.path_elements(paths)
+    ids = ids.unionByName(_tops(g).select("element_id")).distinct()
+    return _tops(g), _sampled(g), paths, *metrics.subgraph(g.edges(props=True), g.nodes(props=True), ids, edge_ids)
 
 
-def _paths_all(spark, d):
-    edges = trade_graph(spark, d).edges()
-    tops = metrics.supernodes(edges, SUPERNODES).select("element_id")
-    return expand.shortest_paths(symmetric(edges), tops, LEVELS, tops).where("src < node")
+@query(f"{_SUB} select x as element_id, split_part(x, ':', 1) as label from e where split_part(x, ':', 1) in ('Region', 'Nation', 'Customer', 'Supplier', 'Part', 'Order')")
+def subgraph_extract_nodes(spark, d):
+    return _extract(spark, d)[3].select("element_id", F.col("labels")[0].alias("label"))
 
 
-@query()
-def supernode_paths_all(spark, d):
-    return _paths_all(spark, d).select("src", "node", "hops", F.array_join("path", " ").alias("path"))
+@query(f"{_SUB} select eid as element_id, type, src, dst from edges where eid in (select x from e)")
+def subgraph_extract_edges(spark, d):
+    return _extract(spark, d)[4].select("element_id", "type", "src", "dst")
 
 
-@query()
-def subgraph_extract_nodes_all(spark, d):
-    g = trade_graph(spark, d)
-    ids, edge_ids = expand.path_elements(_paths_all(spark, d))
-    return metrics.subgraph(g.edges(), g.nodes(), ids, edge_ids)[0].select("element_id")
+@query(f"{_SUB} select (select count(*) from tops) as supernode_count, (select count(*) from pr) as pairs_queried, (select count(*) from q) as paths_materialized, (select count(*) from e where x in (select a from sym)) as unique_nodes, (select count(*) from edges where eid in (select x from e)) as unique_rels")
+def subgraph_counters(spark, d):
+    from .sources.files import subgraph_counts
 
+    return subgraph_counts(*_extract(spark, d))
 
-@query()
-def subgraph_extract_edges_all(spark, d):
+
+@query(f"""with {EDGES}, {SYM}, {NODES}, p as (
+  select x.a as src, x.b as node, 1 as hops, [x.a, x.eid, x.b] as path from sym x where x.a like 'Region:%'
+  union all select x.a, y.b, 2, [x.a, x.eid, x.b, y.eid, y.b] from sym x join sym y on y.a = x.b and y.b not in (x.a, x.b) where x.a like 'Region:%'
+  union all select x.a, z.b, 3, [x.a, x.eid, x.b, y.eid, y.b, z.eid, z.b] from sym x join sym y on y.a = x.b and y.b not in (x.a, x.b) join sym z on z.a = y.b and z.b not in (x.a, x.b, y.b) where x.a like 'Region:%'),
+  k as (select *, row_number() over (partition by src, node order by hops, path) as n from p where node like 'Supplier:%') select src, node, hops, array_to_string(path, ' ') as path from k where n <= {PATHS}""")
+def bounded_paths(spark, d):
+    """Paths without repeated nodes from regions to suppliers, of one to three edges, {PATHS} a pair at most."""
     g = trade_graph(spark, d)
-    ids, edge_ids = expand.path_elements(_paths_all(spark, d))
-    return metrics.subgraph(g.edges(), g.nodes(), ids, edge_ids)[1]
+    p = expand.simple_paths(symmetric(g.edges()), g.nodes("Region"), g.nodes("Supplier"), 1, 3, PATHS)
+    return p.select("src", "node", "hops", F.array_join("path", " ").alias("path"))
+
+
+_ARMS = "arms as (select src as a, dst as b, eid from edges where type = 'PLACED' union select dst, src, eid from edges where type = 'CONTAINS' union select src, dst, eid from edges where type = 'PART_OF' union select dst, src, eid from edges where type = 'PART_OF')"
+
+
+@query(f"with {EDGES}, {_ARMS} select a as element_id, count(*) as degree from arms group by a")
+def filtered_degrees(spark, d):
+    """Degrees over the arms of a relationship filter: one type forwards, one backwards, one both ways."""
+    arms = catalog.directed(trade_graph(spark, d).edges(), catalog.parse_filter("PLACED>|<CONTAINS|PART_OF"))
+    return arms.groupBy(F.col("a").alias("element_id")).agg(F.count("*").alias("degree"))
+
+
+@query("select 'Supplier:' || s_suppkey as element_id, s_name, s_nationkey, s_acctbal from supplier where s_suppkey = 7")
+def point_lookup(spark, d):
+    return trade_graph(spark, d).lookup("Supplier:7").select("element_id", "s_name", "s_nationkey", "s_acctbal")
+
+
+@query("select * from (values (0, 'Nation:9', (select n_name from nation where n_nationkey = 9)), (1, 'Region:1', (select r_name from region where r_regionkey = 1)), (3, 'Nation:2', (select n_name from nation where n_nationkey = 2)), (4, 'Nation:9', (select n_name from nation where n_nationkey = 9))) t(pos, element_id, name)")
+def ordered_fetch(spark, d):
+    """A list of ids, one unknown and one twice, in its order."""
+    return metrics.in_order(["Nation:9", "Region:1", "Nation:99", "Nation:2", "Nation:9"], catalog.named_nodes(trade_graph(spark, d))).select("pos", "element_id", F.col("props")["name"].alias("name"))
+
+
+@query(f"with {NODES}, r as (select id, label, row_number() over (partition by label order by md5(id || '|42'), id) as rank from nodes) select id as element_id from r where rank > 10 order by md5(id || '|7'), id limit 12")
+def sample_excluding(spark, d):
+    """More samples, without those already taken."""
+    nodes = trade_graph(spark, d).nodes()
+    return metrics.sample_nodes(nodes, 12, 7, metrics.sample_per_label(nodes, 10)).select("element_id")
 
 
 @query(f"with {NODES}, r as (select label, id as element_id, row_number() over (partition by label order by md5(id || '|42'), id) as rank from nodes) select * from r where rank <= 10")
@@ -291,12 +335,6 @@ def sample_per_label(spark, d):
     return metrics.sample_per_label(trade_graph(spark, d).nodes(), 10)
 
 
-@query()
-def set_cover(spark, d):
-    g = trade_graph(spark, d)
-    return metrics.type_cover(symmetric(g.edges()), g.nodes(), catalog.schema_relationships(g.nodes(), g.edges()))
-
-
 _NORM = r"regexp_replace(regexp_replace(lower(regexp_replace(coalesce({0}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), '[\s\p{{Z}}]+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', '', 'g')"
 
 
@@ -311,16 +349,6 @@ def exact_dedup(spark, d):
     return text.exact_dedup(q).select("normalized", "seq").distinct()
 
 
-@query()
-def near_dup_pairs(spark, d):
-    return text.near_pairs(table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), F.col("text").alias("question")))
-
-
-@query()
-def question_dedup(spark, d):
-    return text.greedy_dedup(table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), F.col("text").alias("question"))).select("seq", "normalized")
-
-
 _TOK = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_.\\-]+'))"
 _RECALL = f"""with p as (select u.conv_id, u.turn, u.text as truth, a.text as answer from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user'),
   t as (select conv_id, turn, truth, {_TOK.format('truth')} as g, {_TOK.format("coalesce(answer, '')")} as a from p),
@@ -347,7 +375,7 @@ def recall_summary(spark, d):
   r as (select query_id, vec_id, list_distance(qe, e) as distance from q, v), k as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from r) select query_id, rank, vec_id from k where rank <= 5""")
 def vector_topk(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return retrieval.vector_topk(v, v.where("vec_id % 100 = 0 and embedding is not null").withColumnRenamed("vec_id", "query_id"), 5, max_queries=100_000).select("query_id", "rank", "vec_id")
+    return retrieval.vector_topk(v, v.where("vec_id % 100 = 0 and embedding is not null").withColumnRenamed("vec_id", "query_id"), 5).select("query_id", "rank", "vec_id")
 
 
 @query("select doc_id, k::int as chunk_no, substring(text, k * 500 + 1, 600) as chunk from (select doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 100) / 500.0)::int))) as k from documents where length(text) > 0)")
@@ -387,28 +415,3 @@ def stage_counts(spark, d):
 def windowed_degree_batch(spark, d):
     out = windowed_degree(table(spark, d, "events").where("user_id is not null"))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
-@query()
-def supplier_contexts(spark, d):
-    """Snapshots of the top anchors: pruned hops, needles and signal lines, for all anchors in one plan."""
-    g = trade_graph(spark, d)
-    sym = symmetric(g.edges("LOCATED_IN", "PART_OF", "PLACED"))
-    anchors = metrics.top_anchors(sym, g.nodes("Customer"), 3)
-    own = g.label("Customer").join(anchors, "element_id", "left_semi").select("element_id", F.array(F.lit("Customer")).alias("labels"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")).alias("props"))
-    names = {"Nation": "n_name", "Region": "r_name", "Customer": "c_name", "Supplier": "s_name", "Order": "o_orderpriority", "Part": "p_name"}
-    info = None
-    for label, name in names.items():
-        x = g.label(label).select("element_id", F.array(F.lit(label)).alias("labels"), F.create_map(F.lit("name"), F.col(name)).alias("props"))
-        info = x if info is None else info.unionByName(x)
-    need = own.select(F.col("element_id").alias("anchor"), context.needles(F.col("props")["name"], F.lit(None).cast("string")).alias("needles"))
-    one = expand.hop1(sym, own).join(need, "anchor").join(info.withColumnRenamed("element_id", "neighbour"), "neighbour")
-    one = context.prune_hop1(one)
-    one = one.withColumn("j", F.to_json("props")).groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("rank", "rel_type", "labels", "j"))).alias("h"))
-    one = one.select("anchor", F.transform("h", lambda x: F.struct(x["rel_type"].alias("rel_type"), x["labels"].alias("labels"), F.from_json(x["j"], "map<string,string>").alias("props"))).alias("hop1"))
-    two = expand.hop2(sym, own).join(need, "anchor").join(info.select(F.col("element_id").alias("mid"), F.col("labels").alias("mid_labels"), F.col("props").alias("mid_props")), "mid").join(info.withColumnRenamed("element_id", "end"), "end")
-    two = context.prune_hop2(two).withColumn("j", F.to_json("props")).groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("rank", "rel_type_1", "mid_labels", "rel_type_2", "labels", "j"))).alias("h"))
-    two = two.select("anchor", F.transform("h", lambda x: F.struct(x["rel_type_1"].alias("rel_type_1"), x["mid_labels"].alias("mid_labels"), x["rel_type_2"].alias("rel_type_2"), x["labels"].alias("labels"), F.from_json(x["j"], "map<string,string>").alias("props"))).alias("hop2"))
-    all_ = own.withColumnRenamed("element_id", "anchor").join(one, "anchor", "left").join(two, "anchor", "left")
-    h1, h2 = F.coalesce("hop1", F.expr("cast(array() as array<struct<rel_type:string,labels:array<string>,props:map<string,string>>>)")), F.coalesce("hop2", F.expr("cast(array() as array<struct<rel_type_1:string,mid_labels:array<string>,rel_type_2:string,labels:array<string>,props:map<string,string>>>)"))
-    return all_.select("anchor", context.snapshot_text(F.col("labels"), F.col("props"), h1, h2).alias("snapshot"), context.useful_context(F.col("props"), h1, h2).alias("signals"))
