@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,20 +69,28 @@ def test_path_queries_cover_all_edges(spark, tmp_path):
     level, trails = [(a, b, (e,)) for a, b, e in sym], {}
     for h in (1, 2, 3):
         for a, b, _ in level:
-            least, n = trails.get((a, b), (h, 0))
-            trails[a, b] = (least, n + 1)
+            by = trails.setdefault((a, b), {})
+            by[h] = by.get(h, 0) + 1
         level = [(a, c, (*used, e)) for a, b, used in level for x, c, e in sym if x == b and e not in used]
-    assert run("trails_1_3_all", "a", "b", "dist", "trails") == sorted((*k, *v) for k, v in trails.items())
-    near = {k: v[0] for k, v in trails.items() if k[0] != k[1]}
-    assert run("reach_1_3_all", "a", "b", "dist") == sorted((*k, v) for k, v in near.items())
+    count = {}
+    for (a, _), by in trails.items():
+        for h, n in by.items():
+            count[a, h] = count.get((a, h), 0) + n
+    assert run("trails_1_3", "a", "trails_1", "trails_2", "trails_3") == sorted((a, *(count.get((a, h), 0) for h in (1, 2, 3))) for a in {a for a, *_ in sym})
+    near = {k: min(v) for k, v in trails.items() if k[0] != k[1]}
+    g = trade_graph(spark, str(tmp_path))
+    links = symmetric(g.edges())
+    rows = lambda df, *cols: sorted(tuple(r) for r in df.select(*cols).collect())
+    assert rows(expand.reach(links, 3), "a", "b", "dist") == sorted((*k, v) for k, v in near.items())
     direct = {(a, b) for a, b, _ in sym}
     label = lambda x: x.split(":")[0]
     pairs = [(a, b, label(a), c, d, near[b, c]) for (a, c), d in near.items() for b in {k[0] for k in near} if a < b and (b, c) in near and (a, b) not in direct and label(a) == label(b) and label(a) in ("Part", "Nation", "Region")]
-    assert run("same_type_common_all", "a", "b", "label", "common", "dist_a", "dist_b") == sorted(pairs)
+    common = expand.same_type_common(links, g.nodes("Part", "Nation", "Region"), 3)
+    assert rows(common, "a", "b", "label", "common", "dist_a", "dist_b") == sorted(pairs)
     best = {}
     for a, b, _, c, x, y in pairs:
         best[a, b] = max(best.get((a, b), ((False, -99, ""),)), ((min(x, y) >= 2, -(x + y), c), x, y))
-    assert run("best_common_all", "a", "b", "common", "dist_a", "dist_b") == sorted((*k, v[0][2], *v[1:]) for k, v in best.items())
+    assert rows(expand.best_common(common), "a", "b", "common", "dist_a", "dist_b") == sorted((*k, v[0][2], *v[1:]) for k, v in best.items())
 
     def paths(src, most):
         found, front = {src: [src]}, {src: [src]}
@@ -95,13 +105,52 @@ def test_path_queries_cover_all_edges(spark, tmp_path):
 
     ids = {a for a, *_ in sym}
     parts = [i for i in ids if label(i) == "Part"]
-    assert run("shortest_hops_all", "src", "node", "hops") == sorted((p, n, len(w) // 2) for p in parts for n, w in paths(p, 8).items() if n in parts)
+    own = g.nodes("Part")
+    assert rows(expand.shortest_paths(links, own, 8, own), "src", "node", "hops") == sorted((p, n, len(w) // 2) for p in parts for n, w in paths(p, 8).items() if n in parts)
     tops = sorted(ids, key=lambda i: (-sum(a == i for a, *_ in sym), i))[:20]
+    both = spark.createDataFrame([(a, b) for a in tops for b in tops if a < b], "a string, b string")
     ways = [(a, n, w) for a in tops for n, w in paths(a, 5).items() if n in tops and a < n]
-    assert len(tops) > 6 and run("supernode_paths_all", "src", "node", "hops", "path") == sorted((a, n, len(w) // 2, " ".join(w)) for a, n, w in ways)
-    assert run("subgraph_extract_nodes_all", "element_id") == sorted({(x,) for *_, w in ways for x in w[::2]})
-    used = {x for *_, w in ways for x in w[1::2]}
-    assert run("subgraph_extract_edges_all", "element_id", "type", "src", "dst") == sorted(e for e in es if e[0] in used)
+    found = expand.expand_pairs(links, both, 5)
+    assert len(tops) > 6 and rows(found, "src", "node", "hops", "path") == sorted((a, n, len(w) // 2, w) for a, n, w in ways)
+    node_ids, edge_ids = expand.path_elements(found)
+    ns, used = metrics.subgraph(g.edges(), g.nodes(), node_ids, edge_ids)
+    assert rows(ns, "element_id") == sorted({(x,) for *_, w in ways for x in w[::2]})
+    assert rows(used, "element_id", "type", "src", "dst") == sorted(e for e in es if e[0] in {x for *_, w in ways for x in w[1::2]})
+
+    def simple(path, most):
+        for a, b, e in sym:
+            if a == path[-1] and b not in path[::2] and most:
+                yield [*path, e, b]
+                yield from simple([*path, e, b], most - 1)
+
+    each = {}
+    for a in tops:
+        for w in simple([a], 3):
+            if w[-1] in tops and a < w[-1]:
+                each.setdefault((a, w[-1]), []).append(w)
+    want = sorted((*k, len(w) // 2, w) for k, ws in each.items() for w in sorted(ws, key=lambda w: (len(w), w))[:2])
+    assert rows(expand.expand_pairs(links, both, 3, 2, "NODE_PATH"), "src", "node", "hops", "path") == want
+    with pytest.raises(ValueError, match="uniqueness"):
+        expand.expand_pairs(links, both, 3, 2, "ANY")
+
+
+def test_counts_without_the_paths(spark):
+    """Trails and chains of a multigraph with loops and parallel edges, counted and enumerated."""
+    r = random.Random(4)
+    e = edges(spark, [(r.choice("abcdef"), r.choice("TU"), r.choice("abcdef")) for _ in range(22)])
+    sym = symmetric(e)
+    by = expand.trails(sym, 1, 3).groupBy("a").pivot("hops", [1, 2, 3]).count().fillna(0)
+    assert sorted(map(tuple, by.collect())) == sorted(map(tuple, expand.trail_counts(sym).collect()))
+    chains = expand.hop2(sym, nodes(spark, "a", "b", "z")).groupBy("anchor", "rel_type_1", "rel_type_2").agg(F.count("eid_2").alias("chains"))
+    assert sorted(map(tuple, chains.collect()), key=str) == sorted(map(tuple, expand.chain_counts(sym, nodes(spark, "a", "b", "z")).collect()), key=str)
+
+
+def test_lookup_reaches_the_scan(spark):
+    g = trade_graph(spark, "/root/testdata/sf0.001")
+    found = g.lookup("Supplier:3")
+    assert [r.s_suppkey for r in found.collect()] == [3]
+    assert "EqualTo(s_suppkey,3)" in found._jdf.queryExecution().toString()
+    assert g.lookup("Supplier:x").count() == 0 and g.lookup("Supplier:99999").count() == 0
 
 
 def test_far_common_is_preferred(spark):
@@ -213,7 +262,11 @@ def test_graphml(spark, tmp_path):
     ns = spark.createDataFrame([("n1", ["A", "B"], {"entity_type": "data-base", "x": "1.0 <&>"}), ("n2", ["A"], {"entity_id": "two"}), ("n3", ["A"], None)], "element_id string, labels array<string>, props map<string,string>")
     es = spark.createDataFrame([("e1", "n1", "n2", "T", {"keywords": "works at, z", "weight": "2.0", "other": "q"})], "element_id string, src string, dst string, type string, props map<string,string>")
     path = str(tmp_path / "g.graphml")
-    graphml.write_graphml(ns, es, path)
+    graphml.write_graphml(ns, es, str(tmp_path / "parts"))
+    graphml.join_parts(str(tmp_path / "parts"), path)
+    root = ElementTree.parse(path).getroot()
+    assert [x.tag.split("}")[1] for x in root] == ["key"] * (len(root) - 1) + ["graph"] and len(root[-1]) == 4
+    assert graphml.read_graphml(spark, str(tmp_path / "parts"))[0].count() == 3
     n, e = graphml.read_graphml(spark, path)
     rows = {r.entity_id: r for r in graphml.node_rows(n).collect()}
     assert set(rows) == {"n1", "two", "n3"} and rows["n1"].labels == ["base", "DataBase"] and rows["n1"].props["x"] == "1.0 <&>" and rows["n3"].labels == ["base", "Entity"]

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from graphbench import queries_items  # noqa: F401 (registers its queries beside the others)
 from graphbench.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphbench.functions import score, text, validate
-from graphbench.sources.client import ContextTooLong, OfflineClient, ask, complete_rows, shrink, with_retry
+from graphbench.sources.client import ContextTooLong, OfflineClient, ask, complete_rows, shorter, with_retry
 
 
 def run(spark, rows, make):
@@ -56,7 +56,7 @@ def test_verdicts(spark):
 def test_truncation(spark):
     assert run(spark, ["abcdef", "abc", None], lambda c: text.truncate_middle(c, 4)) == ["ab\n...[TRUNCATED 2 chars]...\nef", "abc", ""]
     long = "x" * 3000 + "y" * 3000
-    assert run(spark, [long, "short", None], text.shrink_prompt) == [shrink(long), "short", ""]
+    assert run(spark, [long, "short", None], text.shrink_prompt) == [shorter(long), "short", ""]
     df = spark.createDataFrame([(list(range(5)),)], "l array<int>")
     assert df.select(text.last_items(F.col("l"), 3), text.last_items(F.col("l"), 9)).first()[:] == ([2, 3, 4], [0, 1, 2, 3, 4])
 
