@@ -41,7 +41,7 @@ class _Numbered(dict):
 class UnitTable:
     """Distinct units and their ids. Over `limit` units, after a chunk, the half that was met most often stays."""
 
-    def __init__(self, encode_many: Callable[[list], list[list[int]]], limit: int = 400_000) -> None:
+    def __init__(self, encode_many: Callable[[list], list[list[int]] | tuple[np.ndarray, np.ndarray]], limit: int = 400_000) -> None:
         self.encode_many, self.limit = encode_many, limit
         self.index = _Numbered()
         self.lengths, self.starts, self.hits = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -58,14 +58,20 @@ class UnitTable:
         n = len(index)
         if new := index.new:
             ids = self.encode_many(new)
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            a, total = n - len(new), int(lens.sum())
+            if isinstance(ids, tuple):  # already flat, with the lengths
+                flat, lens = ids
+                total = len(flat)
+            else:
+                lens = np.fromiter(map(len, ids), np.int64, len(ids))
+                total = int(lens.sum())
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, total)
+            a = n - len(new)
             self.lengths, self.starts, self.hits = self._room(self.lengths, n), self._room(self.starts, n), self._room(self.hits, n)
             self.flat = self._room(self.flat, self.used + total)
             self.lengths[a:n] = lens
             self.starts[a:n] = self.used + np.cumsum(lens) - lens
             self.hits[a:n] = 0
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+            self.flat[self.used : self.used + total] = flat
             self.used += total
             index.new = []
         if len(out):

@@ -114,6 +114,45 @@ def test_score_documents(spark, frequent):
     assert lm.score_documents(empty, steps=5).collect() == []
 
 
+def test_scores_by_a_plain_loop(spark):
+    """Each word's probability as the product of its ids', mixed with the word's share; words, ends, rare and unknown words alike."""
+    base = ["the cat sat on the mat", "a dog ran and ran", "Über straße", "", "rare words x1 x2", "the the the"]
+    rows = [(i, base[i % len(base)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    how = dict(sample_docs=60, sample_bytes=10_000, size=300, steps=25, train_share=0.5, frequent=3)
+    train = df.where(~lm.remainder_is("doc_id", 5, 1))
+    k = lm.learn(train, PATH, **how)
+    got = {r.doc_id: r.score for r in lm.score_documents(df, **how).collect()}
+    words = lambda t: t.encode().lower().split()
+    count = Counter(w for i, t in rows if not held(i, 5, 1) for w in words(t))
+    n_end = sum(not held(i, 5, 1) for i, _ in rows)
+    total = sum(count.values()) + n_end + 0.5 * (len(count) + 2)
+    tok, _ = lm.Vocabulary.tokenizer(PATH)
+    for i, t in rows:
+        spelled = [*k.vocab.encode_words(tok, words(t)), [lm.Vocabulary.TEXT_END]]
+        logs = k.model.log_probs(np.asarray([x for w in spelled for x in w], np.int32), np.asarray([sum(map(len, spelled))]))
+        want, at = 0.0, 0
+        for w, ids in zip([*words(t), None], spelled):
+            share = ((n_end if w is None else count[w]) + 0.5) / total
+            want += math.log10(0.6 * math.exp(logs[at : at + len(ids)].sum()) + 0.4 * share)
+            at += len(ids)
+        assert got[i] == pytest.approx(want, abs=0.02)
+
+
+def test_training_goes_on_where_the_texts_lie(spark, small):
+    """The mean of the tasks' weights is nearer to the texts than the weights they began with; an empty share changes nothing."""
+    vocab, model = small
+    texts = ["the dog and the cat ran on"] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tok, _ = lm.Vocabulary.tokenizer(PATH)
+    flat, n = lm.encode_docs(vocab, tok, [t.encode().split() for t in texts[:1]], texts[0].encode().split())
+    before, old = model.log_probs(flat.astype(np.int32), n).sum(), {k: v.copy() for k, v in model.p.items()}
+    assert lm.train_on_share(df, vocab, model, 0.0) == 0 and all((model.p[k] == v).all() for k, v in old.items())
+    assert lm.train_on_share(df, vocab, model, 1.0) == len(flat) * 60
+    assert model.log_probs(flat.astype(np.int32), n).sum() > before
+    model.p, model.tables = old, None
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     got = lm.score_documents(spark.read.parquet(f"{SF}/documents.parquet"), steps=250).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
