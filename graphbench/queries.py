@@ -12,6 +12,7 @@ from .operators import context, expand, metrics
 from .plans.pattern import match
 from .sources import graphml
 from .streaming.degree import windowed_degree
+from .tables import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -267,10 +268,12 @@ def supernode_paths(spark, d):
 def _extract(spark, d):
     """Supernodes, pairs, paths, and the nodes and edges of the subgraph with the supernodes themselves."""
     g = trade_graph(spark, d)
-    paths = _paths(g)
+    tops = written(_tops(g), "tops")
+    pairs = written(expand.node_pairs(tops, PAIRS, "sample", 42), "pairs")
+    paths = written(expand.expand_pairs(symmetric(g.edges()), pairs, LEVELS, PATHS), "paths")
     ids, edge_ids = expand.path_elements(paths)
-    ids = ids.unionByName(_tops(g).select("element_id")).distinct()
-    return _tops(g), _sampled(g), paths, *metrics.subgraph(g.edges(props=True), g.nodes(props=True), ids, edge_ids)
+    ids = ids.unionByName(tops.select("element_id")).distinct()
+    return tops, pairs, paths, *metrics.subgraph(g.edges(props=True), g.nodes(props=True), ids, edge_ids)
 
 
 @query(f"{_SUB} select x as element_id, split_part(x, ':', 1) as label from e where split_part(x, ':', 1) in ('Region', 'Nation', 'Customer', 'Supplier', 'Part', 'Order')")
