@@ -38,9 +38,9 @@ def op5_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10, with_spans=False)
+    d = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     joined = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
-    return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +108,21 @@ ORACLE = {
   m as (select a, min(b) as c from r group by a)
   select m.a as vec_id, coalesce(n.n, 0)::bigint as n_links, m.c as component_id, m.a = m.c as kept from m left join n on n.a = m.a""",
     "op6_decontamination": r"""
-  with d as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
-             from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_ascii from documents)),
+  with d as materialized (select doc_id, r, text, list_filter(regexp_split_to_array(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+             from (select doc_id, row_number() over () as r, text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_ascii from documents)),
   b as (select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark where text is not null and item_id is not null),
   g as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as s from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
   k as (select distinct n from g),
   o as (select r, i, n, item_id from (select r, n, unnest(range(1, len(w) - n + 2)) as i, w from d, k where len(w) >= n) x join g using (n) where g.s = array_to_string(x.w[i:i + n - 1], ' ')),
-  h as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from o) group by r),
+  w as (select distinct r, p from (select r, unnest(range(i, i + n)) as p from o)),
+  h as (select r, count(*) as n_hit from w group by r),
+  y as (select r, unnest(t) as s, unnest(range(len(t))) as k from (select r, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from d where r in (select r from h))),
+  c as (select r, regexp_matches(s, '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') as is_word, length(s) as l, sum(regexp_matches(s, '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]')::int) over (partition by r order by k) as p, sum(length(s)) over (partition by r order by k) as e from y),
+  f as (select r, min(e - l)::bigint as a, max(e)::bigint as b from (select c.*, c.p - row_number() over (partition by r order by p) as run from c join w using (r, p) where is_word) group by r, run),
+  x as (select r, string_agg(a || '-' || b, ',' order by a) as spans from f group by r),
   t as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as s from (select distinct r, item_id from o) group by r)
-  select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-  from d left join h using (r) left join t using (r)""",
+  select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(spans, '') as spans
+  from d left join h using (r) left join t using (r) left join x using (r)""",
     "op9_warc_revisit": _CANONICAL
     + f""",
   m as (select q.page_id, max(p.page_id) as base from p q join p on p.u = q.u and p.page_id < q.page_id + {REVISIT_AFTER} group by q.page_id),
