@@ -256,7 +256,8 @@ def chunk_recursive(docs: DataFrame, size: int = 600, overlap: int = 100, id_col
             rows = [(d, i, c) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t for i, c in enumerate(split_text(t, size, overlap))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id long, chunk_no int, chunk string")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, f"doc_id {kind}, chunk_no int, chunk string")
 
 
 def chunk_fixed(docs: DataFrame, size: int = 600, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

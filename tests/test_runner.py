@@ -164,3 +164,25 @@ def test_compact_forms(spark):
     assert s.startswith("x" * 90 + "\n...[TRUNCATED 120 chars]") and len(items) == 5 and items[1] == s and sorted(m) == [f"k{i:02d}" for i in range(12)]
     asked = spark.createDataFrame([(i, f" q{i} " if i % 2 else " ") for i in range(10)], "seq int, question string")
     assert text.existing_questions(asked, 2).first().block.splitlines()[1:] == ["- q7", "- q9"] and text.existing_questions(asked.limit(0)).first().block == ""
+
+
+def test_command_line(spark, tmp_path):
+    """Each command on small files, and its exit codes."""
+    from graphbench.cli import main
+
+    at = lambda name: str(tmp_path / name)
+    small = EngineConfig(supernodes=3, max_pairs=2, max_level=2, retrieval_k=1)
+    assert main(["extract", "/root/testdata/sf0.001", at("g"), "--format", "graphml", "--filter", "SUPPLIES"], spark, small) == 0
+    assert main(["import", at("g"), at("db")], spark, small) == 0
+    nodes, edges = (spark.read.parquet(f"{at('db')}/{x}") for x in ("nodes", "edges"))
+    assert nodes.count() >= 3 and {r.type for r in edges.select("type").distinct().collect()} <= {"DIRECTED"}
+    (tmp_path / "corpus.txt").write_text("red apples\n\nblue whales swim")
+    (tmp_path / "items.json").write_text(json.dumps([{"complexity": "simple", "question": "whales", "ideal_context": "blue"}, {"question": "apples", "ground_truth": "green"}]))
+    assert main(["run", at("items.json"), at("corpus.txt"), at("out")], spark, small) == 0
+    got = sorted((r["index"], r.recall_on_ground_truth_tokens) for r in files.read_results(spark, at("out/results")).collect())
+    assert [i for i, _ in got] == [1, 2] and got[1][1] == 0.0
+    assert main(["judge", at("out/results"), at("report")], spark, small) == 0
+    assert json.loads(spark.read.text(at("report/report")).first().value)["n_scored"] == 2
+    assert main(["run", at("none.json"), at("corpus.txt"), at("x")], spark, small) == 1
+    (tmp_path / "blank.txt").write_text(" \n")
+    assert main(["run", at("items.json"), at("blank.txt"), at("y")], spark, small) == 2
