@@ -39,10 +39,10 @@ class _Numbered(dict):
 
 
 class UnitTable:
-    """Distinct units and their ids. Over `limit` units, after a chunk, the half that was met most often stays."""
+    """Distinct units and their ids. After a chunk that leaves over `limit` units or `limit_bytes` of units and ids, those met most often stay, up to half of both."""
 
-    def __init__(self, encode_many: Callable[[list], list[list[int]] | tuple[np.ndarray, np.ndarray]], limit: int = 400_000) -> None:
-        self.encode_many, self.limit = encode_many, limit
+    def __init__(self, encode_many: Callable[[list], list[list[int]] | tuple[np.ndarray, np.ndarray]], limit: int = 400_000, limit_bytes: int = 64_000_000) -> None:
+        self.encode_many, self.limit, self.limit_bytes, self.held = encode_many, limit, limit_bytes, 0
         self.index = _Numbered()
         self.lengths, self.starts, self.hits = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
@@ -73,6 +73,7 @@ class UnitTable:
             self.hits[a:n] = 0
             self.flat[self.used : self.used + total] = flat
             self.used += total
+            self.held += sum(map(len, new)) + 4 * total
             index.new = []
         if len(out):
             self.hits[:n] += np.bincount(out, minlength=n)
@@ -82,16 +83,18 @@ class UnitTable:
         return self.flat[ragged(self.starts[rows], self.lengths[rows])]
 
     def settle(self) -> None:
-        """After a chunk: when over the limit, forget the units met least; rows given before no longer hold."""
+        """After a chunk: when over a limit, forget the units met least; rows given before no longer hold."""
         n = len(self.index)
-        if n <= self.limit:
+        if n <= self.limit and self.held <= self.limit_bytes:
             return
-        kept = np.sort(np.argsort(-self.hits[:n], kind="stable")[: self.limit // 2])
+        sizes = np.fromiter(map(len, self.index), np.int64, n) + 4 * self.lengths[:n]
+        order = np.argsort(-self.hits[:n], kind="stable")[: self.limit // 2]
+        kept = np.sort(order[np.cumsum(sizes[order]) <= self.limit_bytes // 2])
         stays = np.zeros(n, bool)
         stays[kept] = True
         index = _Numbered()
         index.update(zip((u for u, s in zip(self.index, stays.tolist(), strict=True) if s), range(len(kept)), strict=True))
-        self.flat = self.ids(kept)
+        self.flat, self.held = self.ids(kept), int(sizes[kept].sum())
         self.lengths, self.hits, self.used, self.index = self.lengths[kept], self.hits[kept] // 2, len(self.flat), index
         self.starts = np.cumsum(self.lengths) - self.lengths
 

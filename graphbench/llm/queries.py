@@ -123,6 +123,16 @@ ORACLE = {
   t as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as s from (select distinct r, item_id from o) group by r)
   select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(spans, '') as spans
   from d left join h using (r) left join t using (r) left join x using (r)""",
+    "op8_minmax_dedup": r"""
+  with recursive t as materialized (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents where doc_id is not null),
+  g as materialized (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) as i from t where len(w) > 0)),
+  n as materialized (select doc_id, count(*) as n from g group by 1),
+  p as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by all),
+  l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+  e as materialized (select a, b from l union all select b, a from l),
+  r as (select doc_id as a, doc_id as b from t union select r.a, e.b from r join e on e.a = r.b),
+  m as (select a, min(b) as c from r group by a)
+  select m.a as doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, m.a = m.c as kept from m left join n on n.doc_id = m.a""",
     "op9_warc_revisit": _CANONICAL
     + f""",
   m as (select q.page_id, max(p.page_id) as base from p q join p on p.u = q.u and p.page_id < q.page_id + {REVISIT_AFTER} group by q.page_id),

@@ -40,6 +40,14 @@ def test_unit_table_forgets():
     assert t.ids(t.rows(["5", "2", "1"])).tolist() == [5] * 5 + [2, 2, 1]
 
 
+def test_unit_table_bounds_bytes():
+    t = _units.UnitTable(lambda us: [[len(u)] for u in us], limit_bytes=100)
+    assert t.ids(t.rows(["a", "a", "b" * 500, "c"])).tolist() == [1, 1, 500, 1]
+    t.settle()
+    assert list(t.index) == ["a"] and t.held == 5  # what follows a unit beyond the bound goes with it
+    assert t.ids(t.rows(["c", "b" * 500, "a"])).tolist() == [1, 500, 1]
+
+
 def test_token_counts(spark):
     rows = [(i, t, i) for i, t in enumerate(ODD)] + [(0, "a b", 0), (None, "a", 0)]
     got = token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")).collect()
