@@ -182,12 +182,12 @@ _PAIRS = f"""{_reach_sql("a like 'Nation:%' or a like 'Region:%'")}, p as materi
 
 def _common(spark, d):
     g = trade_graph(spark, d)
-    return expand.same_type_common(symmetric(g.edges()), g.nodes("Nation", "Region"), 3)
+    return expand.common_counts(symmetric(g.edges()), g.nodes("Nation", "Region"), 3)
 
 
 @query(f"with {EDGES}, {SYM}, {_PAIRS} select a, b, label, dist_a, dist_b, count(*) as commons from p group by all")
 def same_type_common(spark, d):
-    return expand.common_counts(_common(spark, d))
+    return _common(spark, d).drop("last")
 
 
 _BEST = "k as (select *, row_number() over (partition by a, b order by least(dist_a, dist_b) >= 2 desc, dist_a + dist_b, common desc) as n from p)"
@@ -195,7 +195,7 @@ _BEST = "k as (select *, row_number() over (partition by a, b order by least(dis
 
 @query(f"with {EDGES}, {SYM}, {_PAIRS}, {_BEST} select a, b, common, dist_a, dist_b from k where n = 1")
 def best_common(spark, d):
-    return expand.best_common(_common(spark, d))
+    return expand.best_common(_common(spark, d).withColumnRenamed("last", "common"))
 
 
 def _levels(n: int, pairs: str) -> str:

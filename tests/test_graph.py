@@ -87,10 +87,16 @@ def test_path_queries_cover_all_edges(spark, tmp_path):
     pairs = [(a, b, label(a), c, d, near[b, c]) for (a, c), d in near.items() for b in {k[0] for k in near} if a < b and (b, c) in near and (a, b) not in direct and label(a) == label(b) and label(a) in ("Part", "Nation", "Region")]
     common = expand.same_type_common(links, g.nodes("Part", "Nation", "Region"), 3)
     assert rows(common, "a", "b", "label", "common", "dist_a", "dist_b") == sorted(pairs)
+    tally = {}
+    for a, b, lab, c, x, y in pairs:
+        n, last = tally.get((a, b, lab, x, y), (0, ""))
+        tally[a, b, lab, x, y] = n + 1, max(last, c)
+    counts = expand.common_counts(links, g.nodes("Part", "Nation", "Region"), 3)
+    assert rows(counts, *counts.columns) == sorted((*k, *v) for k, v in tally.items())
     best = {}
     for a, b, _, c, x, y in pairs:
         best[a, b] = max(best.get((a, b), ((False, -99, ""),)), ((min(x, y) >= 2, -(x + y), c), x, y))
-    assert rows(expand.best_common(common), "a", "b", "common", "dist_a", "dist_b") == sorted((*k, v[0][2], *v[1:]) for k, v in best.items())
+    assert rows(expand.best_common(common), "a", "b", "common", "dist_a", "dist_b") == rows(expand.best_common(counts.withColumnRenamed("last", "common")), "a", "b", "common", "dist_a", "dist_b") == sorted((*k, v[0][2], *v[1:]) for k, v in best.items())
 
     def paths(src, most):
         found, front = {src: [src]}, {src: [src]}
