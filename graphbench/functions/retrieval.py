@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import importable
@@ -17,7 +17,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
     """query_id, rank, vec_id, distance: the k nearest by Euclidean distance, ties by id; vectors: vec_id, embedding; queries: query_id, embedding.
 
     The stated query set goes to every task in blocks of `block` queries, one pass over the vectors a block; null embeddings are left out. Each batch of vectors is
-    compared as a whole and only its k best a query go on; the final rank sees k rows a query and batch."""
+    compared as a whole; of a task only the k best a query go on, and the final rank cuts to k before it shuffles."""
     importable(vectors.sparkSession)
     asked = queries.select("query_id", "embedding").where("embedding is not null")
     parts = max(1, -(-asked.count() // block))
@@ -32,19 +32,22 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, q = asked.value
+        dist, found = [np.zeros(0)] * len(qid), [np.zeros(0, np.int64)] * len(qid)
         for pdf in batches:
             pdf = pdf[pdf["embedding"].notna()]
-            if pdf.empty or not len(qid):
+            if pdf.empty:
                 continue
             x, vid = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy()
             for i in range(len(qid)):
-                d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                top = np.lexsort((vid, d))[:k]
-                yield pd.DataFrame({"query_id": qid[i], "vec_id": vid[top], "distance": d[top]})
+                d, v = np.append(dist[i], np.sqrt(((x - q[i]) ** 2).sum(axis=1))), np.append(found[i], vid)
+                top = np.lexsort((v, d))[:k]
+                dist[i], found[i] = d[top], v[top]
+        if len(qid):
+            yield pd.DataFrame({"query_id": np.repeat(qid, [len(v) for v in found]), "vec_id": np.concatenate(found), "distance": np.concatenate(dist)})
 
     near = vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, distance double")
-    top = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, k).alias("t"))
-    return top.select("query_id", F.posexplode("t").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), "x.vec_id", "x.distance")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
 def hash_embedding(docs: DataFrame, dims: int = 64, text_col: str = "chunk", unit: bool = True) -> DataFrame:
