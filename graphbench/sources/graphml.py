@@ -24,8 +24,11 @@ def resolve(path: str, folder: str = ".") -> Path:
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, props), (edges: src, dst, props) with property maps named by the file's <key> elements."""
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    """(nodes: id, props), (edges: src, dst, props) with property maps named by the file's <key> elements.
+
+    path may be a folder of parts. Only the first part opens the document's root, which the newer XML parser asks of every file: it gives up
+    behind the first element of the others. The older one looks for the elements alone."""
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", True).schema(schema).load(path)
     keys = read("key", "_id string, `_attr.name` string")
     keys = keys.select(F.col("_id").alias("k"), F.col("`_attr.name`").alias("name"))
     nodes = read("node", f"_id string, data {_DATA}").withColumn("row", F.monotonically_increasing_id())

@@ -283,6 +283,20 @@ def test_graphml(spark, tmp_path):
         graphml.resolve("none", str(tmp_path))
 
 
+def test_graphml_of_several_parts(spark, tmp_path):
+    ns = spark.range(40).selectExpr("concat('n', id) as element_id", "array('A') as labels", "map('name', concat('<', id, '>')) as props")
+    es = spark.range(39).selectExpr("concat('e', id) as element_id", "concat('n', id) as src", "concat('n', id + 1) as dst", "'T' as type", "map('weight', '2.0') as props")
+    graphml.write_graphml(ns, es, str(tmp_path / "whole"))
+    graphml.join_parts(str(tmp_path / "whole"), str(tmp_path / "g.graphml"))
+    lines = (tmp_path / "g.graphml").read_text().splitlines()
+    (tmp_path / "parts").mkdir()
+    for k in range(0, len(lines), 9):  # as many tasks write a larger graph
+        (tmp_path / "parts" / f"part-{k:05}.txt").write_text("\n".join(lines[k : k + 9]) + "\n")
+    n, e = graphml.read_graphml(spark, str(tmp_path / "parts"))
+    assert sorted((r.id, r.props["name"]) for r in n.collect()) == sorted((f"n{i}", f"<{i}>") for i in range(40))
+    assert sorted((r.src, r.dst, r.props["weight"]) for r in e.collect()) == sorted((f"n{i}", f"n{i + 1}", "2") for i in range(39))
+
+
 def test_upserts(spark):
     schema = "entity_id string, labels array<string>, props map<string,string>"
     old = spark.createDataFrame([("a", ["w"], {"x": "1", "y": "1"}), ("b", ["w"], {"x": "1"})], schema)
