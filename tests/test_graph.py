@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphbench.catalog import Graph, directed, parse_filter, schema_relationships, symmetric, trade_graph
 from graphbench.functions.retrieval import hash_embedding, vector_topk
 from graphbench.functions.validate import ground_truth
-from graphbench.operators import context, expand, metrics
+from graphbench.operators import context, expand, levels, metrics
 from graphbench.plans.pattern import PatternError, match
 from graphbench.queries import QUERIES
 from graphbench.sources import files, generate, graphml
@@ -53,6 +53,25 @@ def test_shortest_paths_break_ties_by_id(spark):
     assert n.count() == 4 and e.count() == 4
 
 
+def test_levels_of_bits_equal_paths(spark, monkeypatch):
+    """Distances, paths of pairs and common counts by levels, in several groups of starts and slices of buckets, with ids of both kinds."""
+    monkeypatch.setattr(levels, "BITS", 3)
+    monkeypatch.setattr(levels, "SLICE", 2)
+    rows = lambda df, *cols: sorted(tuple(r) for r in df.select(*cols).collect())
+    for name in ("N:{}", "x{}"):
+        ends = [(name.format(i * 7 % 23), "T" if i % 3 else "U", name.format((i * i + 3) % 23)) for i in range(40)] + [(name.format(50), "T", name.format(51)), (name.format(1), "T", name.format(1))]
+        sym = symmetric(edges(spark, ends))
+        some, far = nodes(spark, *(name.format(i) for i in (0, 1, 2, 5, 99))), nodes(spark, *(name.format(i) for i in (0, 4, 8, 50, 77)))
+        want = expand.shortest_paths(sym, some, 4, far)
+        assert rows(expand.shortest_hops(sym, some, 4, far), "src", "node", "hops") == rows(want, "src", "node", "hops")
+        pairs = some.select(F.col("element_id").alias("a")).crossJoin(far.select(F.col("element_id").alias("b")))
+        cols = ["src", "node", "hops", "path", "types"]
+        assert rows(expand.pair_paths(sym, pairs, 4), *cols) == rows(want, *cols)
+        assert not {"path", "types"} & set(expand.shortest_hops(sym, some, 4, far).columns)
+        one = sym.where("a < b")  # arcs keep their direction
+        assert rows(expand.pair_paths(one, pairs, 4), *cols) == rows(expand.shortest_paths(one, some, 4, far), *cols)
+
+
 def test_path_queries_cover_all_edges(spark, tmp_path):
     """Against plain loops on a graph with customers, orders, line items and part keys of 10 and more."""
     li = [(o, k, p, s, 1.0, 2.0, 0.0, 0.0, "R", "F", datetime.date(2024, 1, 1)) for k, (o, p, s) in enumerate([(1, 3, 1), (1, 12, 1), (2, 12, 2), (3, 40, 2), (3, 3, 2)])]
