@@ -24,6 +24,8 @@ from .token_count import PRETOKEN
 BLOCK, CONTEXT = 16, 16
 WINDOW = BLOCK + CONTEXT
 FAR = -1e4
+#: The training texts are dealt to so many rounds; the tasks' weights meet after each.
+ROUNDS = 4
 
 
 class Vocabulary:
@@ -306,10 +308,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def word_classes(ids: np.ndarray, size: int, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in equal classes of neighbours by what precedes them (first singular vectors of the log pair counts)."""
-    pairs = np.zeros((size, size), np.float32)
-    np.add.at(pairs, (ids[1:], ids[:-1]), 1)
+def word_classes(ids: np.ndarray, size: int, shape: tuple[int, int], pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in equal classes of neighbours by what precedes them (first singular vectors of the log pair counts; those of ids unless given)."""
+    if pairs is None:
+        pairs = np.zeros((size, size), np.float32)
+        np.add.at(pairs, (ids[1:], ids[:-1]), 1)
     x = np.log1p(pairs)
     total = pairs.sum(axis=1)
     r = np.random.default_rng(0)
@@ -323,17 +326,18 @@ def word_classes(ids: np.ndarray, size: int, shape: tuple[int, int]) -> tuple[np
     return rank // shape[1], rank % shape[1]
 
 
-def fit(texts: list[bytes], path: str, size: int = 2500, steps: int = 700, vocab: Vocabulary | None = None) -> tuple[Vocabulary, Model]:
-    """Learn the ids (unless they are given), the classes and the weights from a sample of texts."""
+def fit(texts: list[bytes], path: str, size: int = 2500, steps: int = 700, vocab: Vocabulary | None = None, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Vocabulary, Model]:
+    """Learn the ids and the counts of pairs and of ids behind the classes (unless they are given), and the weights, from texts."""
     docs = [t.lower().split() for t in texts]
     words = Counter(w for d in docs for w in d)
     vocab = vocab or Vocabulary.learn(path, words, size)
     flat, lengths = encode_docs(vocab, Vocabulary.tokenizer(path)[0], docs, list(words))
     width = math.isqrt(size - 1) + 1
     shape = (-(-size // width), width)
-    cls, mem = word_classes(flat, size, shape) if len(flat) else (np.arange(size) // width, np.arange(size) % width)
+    pairs, own = known or (None, np.bincount(flat, minlength=size).astype(float))
+    cls, mem = word_classes(flat, size, shape, pairs) if own.any() else (np.arange(size) // width, np.arange(size) % width)
     model = Model(size, cls, mem, shape)
-    model.prior(np.bincount(flat, minlength=size).astype(float))
+    model.prior(own)
     if len(flat):
         model.train(flat, lengths, steps)
     return vocab, model
@@ -368,6 +372,43 @@ def _pair_counts(path: str):
     return run
 
 
+def _id_pairs(shared, size: int):
+    """(key, n) from a table of words and counts: id * size + the id before it in the word; -1 - id for the ids alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        tok, held = Vocabulary.tokenizer(vocab.path)[0], [(np.zeros(0, np.int64), np.zeros(0))]
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(key))
+
+        for b in batches:
+            words = b.column(0).to_pylist()
+            for at in range(0, len(words), 20_000):
+                ids, n = vocab.encode_flat(tok, words[at : at + 20_000])
+                ids, c = ids.astype(np.int64), np.repeat(b.column(1).slice(at, 20_000).to_numpy().astype(float), n)
+                inner = np.ones(len(ids), bool)
+                inner[(np.cumsum(n) - n)[n > 0]] = False
+                held.append((np.concatenate(((ids * size + np.roll(ids, 1))[inner], -1 - ids)), np.concatenate((c[inner], c))))
+                held[:] = [summed()]
+        key, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n)], names=["key", "n"])
+
+    return run
+
+
+def id_counts(counts: DataFrame, vocab: Vocabulary, size: int, ends: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often an id follows another within a word (row: the id, column: the one before) and how often each stands, in all training texts; `ends` of them."""
+    got = counts.mapInArrow(_id_pairs(counts.sparkSession.sparkContext.broadcast(vocab), size), "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
+    pairs, own = np.zeros(size * size, np.float32), np.zeros(size)
+    pairs[key[key >= 0]] = n[key >= 0]
+    own[-1 - key[key < 0]] = n[key < 0]
+    own[Vocabulary.TEXT_END] += ends
+    return pairs.reshape(size, size), own
+
+
 def _train_here(shared, rate: float, most_bytes: int):
     """(part, ids, weights): a task's own weights after every block of its texts was met once, from common ones."""
 
@@ -407,14 +448,14 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [0], "ids": [total], "weights": [pickle.dumps({k: np.asarray(v, np.float32) for k, v in mean.items()})]})
 
 
-def train_on_share(train: DataFrame, vocab: Vocabulary, model: Model, share: float, rate: float = 1.5e-3, most_bytes: int = 4_000_000) -> float:
-    """Train on a share of all training texts, by hash of the id, where they lie; what the model learns from grows with the corpus.
+def train_on_share(train: DataFrame, vocab: Vocabulary, model: Model, share: float, rate: float = 1.5e-3, most_bytes: int = 4_000_000, above: float = 0.0) -> float:
+    """Train on a share of all training texts, by hash of the id (from `above` to `share`; all of them at 0 and 1), where they lie.
 
     Every task goes on from the same weights over its own texts; their mean, by ids met, is the model's. Means are taken in groups of tasks first,
     so that the driver reads as many weights as the square root of the tasks. Returns the number of ids met."""
     spark, shape = train.sparkSession, "part long, ids double, weights binary"
     chance = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    some = train.where(chance < share).select("text")
+    some = train.where((chance >= above) & (chance < share)).select("text")
     groups = math.isqrt(some.rdd.getNumPartitions()) + 1
     parts = some.mapInArrow(_train_here(spark.sparkContext.broadcast((vocab, model)), rate, most_bytes), shape)
     means = parts.withColumn("g", F.pmod("part", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: _average(pdf), shape).toPandas()
@@ -532,20 +573,21 @@ def learn(train: DataFrame, path: str, sample_docs: int, sample_bytes: int, size
         if (held_bytes := held_bytes + len(r.text)) > 4 * sample_bytes:
             break
         sample.append(r.text.encode())
-    vocab, model = fit(sample, path, size, steps, vocab)
-    if train_share:
-        train_on_share(train, vocab, model, train_share)
+    vocab, model = fit(sample, path, size, steps, vocab, id_counts(counts, vocab, size, n_train))
+    for k in range(ROUNDS if train_share else 0):
+        train_on_share(train, vocab, model, train_share * (k + 1) / ROUNDS, above=train_share * k / ROUNDS)
     return Learned(counts, vocab, model, top, cut, n_train, n, v)
 
 
-def score_documents(docs: DataFrame, modulus: int = 5, held: int = 1, path: str | None = None, sample_docs: int = 1500, sample_bytes: int = 6_000_000, size: int = 2500, steps: int = 700, train_share: float = 0.01, weight: float = 0.6, frequent: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 5, held: int = 1, path: str | None = None, sample_docs: int = 1500, sample_bytes: int = 6_000_000, size: int = 2500, steps: int = 700, train_share: float = 1.0, weight: float = 0.6, frequent: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are split at ASCII white space with A-Z lower-cased; each text ends with one end token. base_score is the unigram
     log10 probability from the word counts of all training documents (crc32 of the id modulo `modulus` is not `held`).
     score mixes, word by word, the attention model's probability (`weight`) with that unigram, both proper over words.
-    Word counts and the model's ids come from all training documents. The network starts from a sample (expected sample_docs documents or sample_bytes, whichever
-    is less, by hash of the id, each of at most sample_bytes; the driver holds four times that at most) and then meets train_share of all training documents, whole, in the tasks that read them.
+    Word counts, the model's ids and its classes come from all training documents. The network's first weights come from a sample (expected sample_docs documents or
+    sample_bytes, whichever is less, by hash of the id, each of at most sample_bytes; the driver holds four times that at most); from there it meets train_share of all
+    training documents (by default every one), whole and once, in the tasks that read them.
 
     A null or empty text is the end token alone. Rows of a null id are training rows; repeated rows count as often as they stand; an empty
     table gives no rows; other columns are ignored. Counts of the `frequent` commonest words are broadcast; the others meet their counts in a join.

@@ -139,6 +139,28 @@ def test_scores_by_a_plain_loop(spark):
         assert got[i] == pytest.approx(want, abs=0.02)
 
 
+def test_the_model_meets_every_training_text(spark, monkeypatch):
+    """By default the network meets each training text once, however small its first sample; pairs of ids come from all of them."""
+    rows = [(i, f"word{i} is there and w{i % 7}") for i in range(120)]
+    df, met, go_on = spark.createDataFrame(rows, "doc_id long, text string"), [], lm.train_on_share
+    monkeypatch.setattr(lm, "train_on_share", lambda *a, **b: met.append(go_on(*a, **b)))
+    lm.score_documents(df, sample_docs=5, size=300, steps=5)
+    docs = [t.encode().split() for i, t in rows if not held(i, 5, 1)]
+    words = Counter(w for d in docs for w in d)
+    counts = spark.createDataFrame(list(words.items()), "word binary, c long")
+    tok, ranks = lm.Vocabulary.tokenizer(PATH)
+    pairs = counts.mapInArrow(lm._pair_counts(PATH), "key long, n double").groupBy("key").sum("n").collect()
+    vocab = lm.Vocabulary(PATH, lm.commonest({r[0]: r[1] for r in pairs}, 300), ranks)
+    flat, n = lm.encode_docs(vocab, tok, docs, list(words))
+    assert sum(met) == len(flat) == n.sum()
+    follow, own = lm.id_counts(counts, vocab, 300, len(docs))
+    want = np.zeros((300, 300))
+    for w, ids in zip(words, vocab.encode_words(tok, list(words))):
+        for a, b in zip(ids, ids[1:]):
+            want[b, a] += words[w]
+    assert (follow == want).all() and (own == np.bincount(flat, minlength=300)).all()
+
+
 def test_training_goes_on_where_the_texts_lie(spark, small):
     """The mean of the tasks' weights is nearer to the texts than the weights they began with; an empty share changes nothing."""
     vocab, model = small
