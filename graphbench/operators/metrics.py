@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 
 def degree(edges: DataFrame, mode: str = "both") -> DataFrame:
     """element_id, degree of nodes that have edges; only id columns are read. A self-loop counts once ('both'), 'out' counts starts."""
@@ -102,6 +104,12 @@ def in_order(ids: list[str], nodes: DataFrame) -> DataFrame:
     return spark.createDataFrame([(i, e) for i, e in enumerate(ids)], "pos int, element_id string").join(nodes, "element_id")
 
 
-def subgraph(edges: DataFrame, nodes: DataFrame, node_ids: DataFrame, edge_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Full rows of the ids that paths named; ids travel first, properties join last."""
-    return nodes.join(node_ids, "element_id", "left_semi").dropDuplicates(["element_id"]), edges.join(edge_ids, "element_id", "left_semi").dropDuplicates(["element_id"])
+def subgraph(edges: DataFrame, nodes: DataFrame, node_ids: DataFrame, edge_ids: DataFrame, few: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Full rows of the ids that paths named; ids travel first, properties join last. Up to `few` ids are broadcast, so that the tables stay where they lie."""
+
+    def rows(table: DataFrame, ids: DataFrame) -> DataFrame:
+        ids = written(ids.select("element_id").distinct(), "ids")
+        ids = F.broadcast(ids) if ids.limit(few + 1).count() <= few else ids
+        return table.join(ids, "element_id", "left_semi").dropDuplicates(["element_id"])
+
+    return rows(nodes, node_ids), rows(edges, edge_ids)

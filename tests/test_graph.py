@@ -43,6 +43,20 @@ def test_parallel_edges_and_trails(spark):
     assert [r.neighbour for r in expand.hop1(sym, nodes(spark, "z")).collect()] == [None]
 
 
+def test_subgraph_leaves_edges_where_they_lie(spark):
+    """Few ids are broadcast even where no table may be; many are joined; the rows are the same."""
+    e, n = edges(spark, [(f"a{i}", "T", f"b{i}") for i in range(9)]), nodes(spark, *(f"a{i}" for i in range(9)))
+    ids, eids = (spark.createDataFrame([(x,) for x in xs], "element_id string") for xs in (["a1", "a3", "a3", "z"], ["e2", "e2", "e7"]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few, kind in ((100_000, "BroadcastHashJoin"), (1, "SortMergeJoin")):
+            got = metrics.subgraph(e, n, ids, eids, few=few)
+            assert all(kind in d._jdf.queryExecution().executedPlan().toString() for d in got)
+            assert [sorted(r.element_id for r in d.collect()) for d in got] == [["a1", "a3"], ["e2", "e7"]]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_shortest_paths_break_ties_by_id(spark):
     sym = symmetric(edges(spark, [("a", "T", "m2"), ("m2", "T", "c"), ("a", "T", "m1"), ("m1", "T", "c")]))
     got = {r.node: (r.hops, r.path) for r in expand.shortest_paths(sym, nodes(spark, "a"), 5).collect()}
