@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import math
 import pickle
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -38,7 +39,7 @@ class Vocabulary:
     WORD_END, TEXT_END, FIRST = 256, 257, 258
 
     def __init__(self, path: str, pairs: list[tuple[int, bool]], ranks: dict[bytes, int]) -> None:
-        self.path, number = path, {p: i for i, p in enumerate(pairs, self.FIRST)}
+        self.path, self.mark, number = path, uuid.uuid4().hex, {p: i for i, p in enumerate(pairs, self.FIRST)}
         top = max(ranks.values()) + 1
         spelled: list[list[int]] = [[]] * (2 * top)  # of token i: inside a word at 2 i, at its end at 2 i + 1
         for b, i in ranks.items():
@@ -135,13 +136,21 @@ class Model:
     def _bias(self) -> np.ndarray:
         return np.where(self.dist >= 0, self.p["rel"][np.clip(self.dist, 0, WINDOW - 1)], FAR).astype(np.float32)
 
-    def ready(self) -> None:
-        p = self.p
-        q, k = p["E"] @ p["q"] / np.sqrt(self.key), p["E"] @ p["k"]
-        one, shut = np.ones((self.size + 1, 1), np.float32), np.zeros((self.size + 1, 1), np.float32)
+    def _maps(self) -> np.ndarray:
+        """What makes an id's query, key and value of its embedding."""
+        return np.hstack((self.p["q"] / math.sqrt(self.key), self.p["k"], self.p["v"]))
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By id: (query, one), (key, FAR for a pad), (value, one) and embedding. So scores hold the shut pads, and weighted values their weights' sum."""
+        e, key = self.p["E"], self.key
+        got = e @ self._maps()
+        one, shut = np.ones((self.size + 1, 1), got.dtype), np.zeros((self.size + 1, 1), got.dtype)
         shut[self.size] = FAR
-        k[self.size] = 0
-        parts = np.hstack((q, one)), np.hstack((k, shut)), np.hstack((p["E"] @ p["v"], one)), p["E"]
+        got[self.size, key : 2 * key] = 0
+        return np.hstack((got[:, :key], one)), np.hstack((got[:, key : 2 * key], shut)), np.hstack((got[:, 2 * key :], one)), e
+
+    def ready(self) -> None:
+        parts = self._tables()
         self.edges = tuple(np.cumsum([t.shape[1] for t in parts[:3]]).tolist())
         self.tables = np.ascontiguousarray(np.hstack(parts), np.float32)
         self.bias = self._bias()
@@ -223,71 +232,143 @@ class Model:
         x[place[1:]] = texts[:-1]
         x[first[lengths > 0]] = Vocabulary.TEXT_END
         r, grid, losses = np.random.default_rng(seed), np.arange(-CONTEXT, BLOCK), []
-        m1, m2 = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}
         if once:
             starts = r.permutation(starts)
             steps = -(-len(starts) // batch)
+        adam = Adam(self.p)
         for step in range(1, steps + 1):
             s = starts[(step - 1) * batch : step * batch] if once else starts[r.integers(len(starts), size=batch)]
-            loss, grads = self._grads(x[s[:, None] + grid], y[s[:, None] + grid[CONTEXT:]], valid[s[:, None] + grid[CONTEXT:]])
+            at = s[:, None] + grid
+            loss, grads = self._grads(x[at], y[at[:, CONTEXT:]], valid[at[:, CONTEXT:]])
             losses.append(loss)
-            lr = rate * min(1, step / 40) * (0.5 + 0.5 * math.cos(math.pi * step / (steps + 1)))
-            for k, g in grads.items():
-                m1[k] += 0.1 * (g - m1[k])
-                m2[k] += 0.01 * (g * g - m2[k])
-                self.p[k] -= lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
+            adam.step(grads, rate * min(1, step / 40) * (0.5 + 0.5 * math.cos(math.pi * step / (steps + 1))))
         self.tables = None
         return [float(np.mean(losses[i : i + 50])) for i in range(0, len(losses), 50)]
 
     def _grads(self, xw: np.ndarray, y: np.ndarray, ok: np.ndarray) -> tuple[float, dict]:
-        p, root = self.p, 1 / np.sqrt(self.key)
-        e = p["E"][xw]
-        eq = e[:, CONTEXT:]
-        q, k, v = eq @ p["q"] * root, e @ p["k"], e @ p["v"]
-        pad = (xw == self.size)[:, None, :]
-        score = np.where(pad, FAR, q @ k.transpose(0, 2, 1)) + self._bias()
-        score = np.exp(score - score.max(axis=2, keepdims=True))
-        a = score / score.sum(axis=2, keepdims=True)
-        h0 = (eq + a @ v).reshape(-1, eq.shape[2])
-        pre = h0 @ p["w1"] + p["b1"]
-        act = np.maximum(pre, 0)
-        h = h0 + act @ p["w2"]
-        yf, w = y.ravel(), ok.ravel().astype(np.float32)
-        w /= max(1, w.sum())
-        c, mem, rows = self.cls[yf], self.mem[yf], np.arange(len(yf))
-        pc = _softmax(h @ p["wc"] + p["bc"])
-        loss = -(w * np.log(pc[rows, c] + 1e-30)).sum()
-        dc = pc * w[:, None]
-        dc[rows, c] -= w
-        g = {"wc": h.T @ dc, "bc": dc.sum(0), "wm": np.zeros_like(p["wm"]), "bm": np.zeros_like(p["bm"])}
-        dh = dc @ p["wc"].T
-        for kk in np.unique(c):
-            i = np.flatnonzero(c == kk)
-            pm = _softmax(h[i] @ p["wm"][kk] + p["bm"][kk])
-            loss -= (w[i] * np.log(pm[np.arange(len(i)), mem[i]] + 1e-30)).sum()
-            dm = pm * w[i][:, None]
-            dm[np.arange(len(i)), mem[i]] -= w[i]
-            g["wm"][kk], g["bm"][kk] = h[i].T @ dm, dm.sum(0)
-            dh[i] += dm @ p["wm"][kk].T
-        da = (dh @ p["w2"].T) * (pre > 0)
+        """Mean loss of the ids y where ok, and its gradients; a row of xw is a window.
+
+        Queries, keys and values are looked up by id, and their gradients are summed by id before they go through the weights. Attention's
+        weights stay without their sum's division: what divides is put on the queries' side, the smaller one.
+        """
+        p, key, n = self.p, self.key, len(xw)
+        tq, tk, tv, te = self._tables()
+        own = xw[:, CONTEXT:]
+        q, kv = tq[own], np.hstack((tk, tv))[xw]
+        k, v = kv[:, :, : key + 1], kv[:, :, key + 1 :]
+        a = q @ k.transpose(0, 2, 1)
+        a += self._bias()
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        att = (a @ v).reshape(own.size, -1)
+        total = np.maximum(att[:, -1:], 1e-30)
+        keep = np.flatnonzero(ok)
+        mixed = att[keep, :-1] / total[keep]
+        h0 = mixed + te[own.ravel()[keep]]
+        act = h0 @ p["w1"]
+        act += p["b1"]
+        np.maximum(act, 0, out=act)
+        loss, dh, g = self._output_grads(h0 + act @ p["w2"], y.ravel()[keep])
+        da = dh @ p["w2"].T
+        da *= act > 0
         g |= {"w2": act.T @ dh, "w1": h0.T @ da, "b1": da.sum(0)}
-        dh0 = (dh + da @ p["w1"].T).reshape(eq.shape)
-        dv = a.transpose(0, 2, 1) @ dh0
-        ds = dh0 @ v.transpose(0, 2, 1)
-        ds = a * (ds - (ds * a).sum(axis=2, keepdims=True))
+        dh += da @ p["w1"].T
+        back = np.zeros((own.size, att.shape[1]), dh.dtype)  # gradient by the value, and what the sum of weights takes off
+        back[keep, :-1], back[keep, -1] = dh, -np.einsum("ij,ij->i", dh, mixed)
+        back /= total
+        back = back.reshape(n, BLOCK, -1)
+        ds = back @ v.transpose(0, 2, 1)
+        ds *= a
         seen = self.dist >= 0
         g["rel"] = np.bincount(self.dist[seen], weights=ds.sum(0)[seen], minlength=WINDOW).astype(np.float32)
-        dq, dk = ds @ k * root, ds.transpose(0, 2, 1) @ q
-        dk[xw == self.size] = 0
-        dv[xw == self.size] = 0
-        flat = lambda t: t.reshape(-1, t.shape[2])
-        g |= {"q": flat(eq).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, CONTEXT:] += dh0 + dq @ p["q"].T
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], xw.ravel(), flat(de))
+        by_key = _sum_by(xw.ravel(), [ds.transpose(0, 2, 1) @ q[:, :, :-1], a.transpose(0, 2, 1) @ back[:, :, :-1]], self.size + 1)
+        by_query = _sum_by(own.ravel()[keep], [(ds @ k[:, :, :-1]).reshape(own.size, key)[keep], dh], self.size + 1)
+        through = np.hstack((by_query[:, :key], by_key))
+        through[self.size] = 0
+        maps = te.T @ through
+        g |= {"q": maps[:, :key] / math.sqrt(key), "k": maps[:, key : 2 * key], "v": maps[:, 2 * key :]}
+        g["E"] = through @ self._maps().T
+        g["E"] += by_query[:, key:]
         g["E"][self.size] = 0
-        return float(loss), g
+        return loss, g
+
+    def _output_grads(self, h: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, dict]:
+        """Mean loss of y, the gradient of h, and those of the output's weights; rows are taken in the order of their classes."""
+        p, w = self.p, 1 / max(1, len(y))
+        order = np.argsort(self.cls[y].astype(np.uint16), kind="stable")
+        c, m, rows = self.cls[y[order]], self.mem[y[order]], np.arange(len(y))
+        hs = np.hstack((h[order], np.ones((len(y), 1), h.dtype)))
+        wc, wm = np.vstack((p["wc"], p["bc"])), np.concatenate((p["wm"], p["bm"][:, None]), axis=1)
+        pc, lost = _softmax_loss(hs @ wc, c, rows, w)
+        gc, dh = hs.T @ pc, pc @ p["wc"].T
+        edges = np.searchsorted(c, np.arange(self.shape[0] + 1)).tolist()
+        met = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        z, gm, more = np.empty((len(y), self.shape[1]), h.dtype), np.zeros_like(wm), np.empty_like(dh)
+        for k, a, b in met:
+            np.matmul(hs[a:b], wm[k], out=z[a:b])
+        pm, lost_m = _softmax_loss(z, m, rows, w)
+        turned = p["wm"].transpose(0, 2, 1)
+        for k, a, b in met:
+            np.matmul(hs[a:b].T, pm[a:b], out=gm[k])
+            np.matmul(pm[a:b], turned[k], out=more[a:b])
+        dh += more
+        out = np.empty_like(dh)
+        out[order] = dh
+        return lost + lost_m, out, {"wc": gc[:-1], "bc": gc[-1], "wm": gm[:, :-1], "bm": gm[:, -1]}
+
+
+class Adam:
+    """Adam over all of a model's weights at once: they become parts of one vector."""
+
+    def __init__(self, p: dict) -> None:
+        self.p, self.t = p, 0
+        self.flat = np.concatenate([v.ravel() for v in p.values()])
+        self.m1, self.m2, self.room = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty_like(self.flat)
+        at = 0
+        for k, v in p.items():
+            p[k] = self.flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+
+    def step(self, grads: dict, rate: float) -> None:
+        self.t += 1
+        g, m1, m2, room = np.concatenate([grads[k].ravel() for k in self.p]).astype(self.flat.dtype, copy=False), self.m1, self.m2, self.room
+        np.subtract(g, m1, out=room)
+        room *= 0.1
+        m1 += room
+        g *= g
+        g -= m2
+        g *= 0.01
+        m2 += g
+        np.divide(m2, 1 - 0.99**self.t, out=room)
+        np.sqrt(room, out=room)
+        room += 1e-6
+        np.divide(m1, room, out=room)
+        room *= rate / (1 - 0.9**self.t)
+        self.flat -= room
+
+
+def _sum_by(index: np.ndarray, parts: list[np.ndarray], size: int) -> np.ndarray:
+    """Sums of the rows of each index, over columns of all parts."""
+    rows = np.concatenate([x.reshape(len(index), -1) for x in parts], axis=1)
+    out, n = np.zeros(size * rows.shape[1], rows.dtype), rows.shape[1]
+    np.add.at(out, ((index * n)[:, None] + np.arange(n)).ravel(), rows.ravel())
+    return out.reshape(size, n)
+
+
+def _softmax_loss(z: np.ndarray, at: np.ndarray, rows: np.ndarray, w: float) -> tuple[np.ndarray, float]:
+    """(w * (softmax of each row, less one at its `at`), w * the sum of -log of the softmax there)."""
+    held = z[rows, at]
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+    total = np.einsum("ij->i", e)
+    if total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30:
+        log_sum = np.log(total)
+        e *= (w / total)[:, None]
+    else:
+        log_sum = _log_sum(z)
+        e = w * np.exp(z - log_sum[:, None])
+    e[rows, at] -= w
+    return e, float(w * (log_sum - held).sum())
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -355,6 +436,29 @@ def encode_docs(vocab: Vocabulary, tok, docs: list[list[bytes]], words: list[byt
     return (np.concatenate(out) if out else np.zeros(0, np.int64)).astype(np.int64), np.asarray([len(x) for x in out], np.int64)
 
 
+_TABLES: dict = {}
+
+
+def word_table(vocab: Vocabulary) -> UnitTable:
+    """The ids of the words that a worker has met; one a process, kept from round to round."""
+    if vocab.mark not in _TABLES:
+        _TABLES.clear()
+        tok = Vocabulary.tokenizer(vocab.path)[0]
+        _TABLES[vocab.mark] = UnitTable(lambda words: vocab.encode_flat(tok, words), 400_000)
+    return _TABLES[vocab.mark]
+
+
+def spell(table: UnitTable, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """What encode_docs gives, from a table of words."""
+    n = np.fromiter(map(len, docs), np.int64, len(docs))
+    rows = table.rows([w for d in docs for w in d])
+    per_doc = np.bincount(np.repeat(np.arange(len(docs)), n), weights=table.lengths[rows], minlength=len(docs)).astype(np.int64)
+    ids = np.full(int(per_doc.sum()) + len(docs), Vocabulary.TEXT_END, np.int64)
+    ids[ragged(np.cumsum(per_doc + 1) - per_doc - 1, per_doc)] = table.ids(rows)
+    table.settle()
+    return ids, per_doc + 1
+
+
 def _pair_counts(path: str):
     """(key, n): how often each (token, ends its word) pair occurs, from a table of words and counts."""
 
@@ -414,11 +518,10 @@ def _train_here(shared, rate: float, most_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, start = shared.value
-        tok, model, held, used, seen = Vocabulary.tokenizer(vocab.path)[0], pickle.loads(pickle.dumps(start)), [], 0, 0
+        table, model, held, used, seen = word_table(vocab), pickle.loads(pickle.dumps(start)), [], 0, 0
 
         def learn() -> int:
-            docs = [t.lower().split() for t in held]
-            flat, lengths = encode_docs(vocab, tok, docs, list({w for d in docs for w in d}))
+            flat, lengths = spell(table, [t.lower().split() for t in held])
             model.train(flat, lengths, rate=rate, once=True)
             held.clear()
             return len(flat)
@@ -470,6 +573,7 @@ def _count_words(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         _SCORERS.clear()
+        _TABLES.clear()
 
         def out() -> pa.RecordBatch:
             b = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
@@ -606,6 +710,7 @@ def score_documents(docs: DataFrame, modulus: int = 5, held: int = 1, path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
             _SCORERS.clear()
+            _TABLES.clear()
             _SCORERS[key] = Scorer(*shared.value)
         scorer = _SCORERS[key]
         for b in batches:

@@ -1,6 +1,7 @@
 """Language model, language ID and quality: exact parts by brute force, learned parts by held-out accuracy."""
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -80,6 +81,45 @@ def test_gradients():
             assert g[k][i] == pytest.approx((up - down) / 2e-4, abs=2e-4), k
 
 
+def test_a_step_is_adams(small):
+    """Weights kept as one vector take the steps that a loop over them by name takes; a text's ids are the same from a table of words."""
+    vocab, model = small
+    r, p = np.random.default_rng(4), {k: v.astype(np.float64) for k, v in model.p.items()}
+    want, m1, m2 = {k: v.copy() for k, v in p.items()}, dict.fromkeys(p, 0.0), dict.fromkeys(p, 0.0)
+    adam = lm.Adam(p)
+    for t in range(1, 4):
+        g = {k: r.normal(size=v.shape) for k, v in p.items()}
+        adam.step({k: v.copy() for k, v in g.items()}, 0.01)
+        for k, v in g.items():
+            m1[k], m2[k] = 0.9 * m1[k] + 0.1 * v, 0.99 * m2[k] + 0.01 * v * v
+            want[k] -= 0.01 * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-6)
+    assert all(np.allclose(p[k], want[k], atol=1e-9) for k in p)
+    docs = [t.split() for t in (b"the cat sat", b"", b"unmet w0rds and the cat")]
+    tok, _ = lm.Vocabulary.tokenizer(PATH)
+    for _ in range(2):
+        got, want = lm.spell(lm.word_table(vocab), docs), lm.encode_docs(vocab, tok, docs, list({w for d in docs for w in d}))
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
+def test_meeting_texts_costs_a_few_times_their_scoring():
+    """The whole training fits beside the scoring only if a step does little more than its products of matrices (it cost over ten times the scoring, now about three)."""
+    r, size = np.random.default_rng(0), 2500
+    model = lm.Model(size, np.arange(size) // 50, np.arange(size) % 50, (50, 50))
+    ids, lengths = (r.zipf(1.3, 120_000) % size).astype(np.int32), np.full(120, 1000)
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            at = time.process_time()
+            f()
+            took.append(time.process_time() - at)
+        return min(took)
+
+    model.log_probs(ids, lengths)
+    scoring = least(lambda: model.log_probs(ids, lengths))
+    assert least(lambda: model.train(ids.astype(np.int64), lengths, rate=1e-4, once=True)) < 7 * scoring
+
+
 def test_words_are_prefix_free(small):
     vocab, _ = small
     tok, _ = lm.Vocabulary.tokenizer(PATH)
