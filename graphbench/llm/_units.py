@@ -197,6 +197,62 @@ class WordMerger:
         return out
 
 
+#: How a byte-level pre-tokenizer cuts text; a fixed value of the public tokenizer.
+BYTE_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class PieceMerger:
+    """Merges units of a plain byte-level tokenizer as its library does, by a rank for each token (why this is the same: see WordMerger).
+
+    Units of printable Latin characters, whose classes no Unicode version changes, are cut and merged here; all others go to the library.
+    """
+
+    def __init__(self, path: str, model: dict) -> None:
+        import tiktoken
+
+        self.tok, letters, vocab = library(path), byte_letters(), model["vocab"]
+        made, merge = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], self.tok.model.tokenize
+        ranks = {bytes([b]): b for b in range(256)}
+        ids = np.zeros(256 + len(made), np.int32)
+        for c, b in letters.items():
+            ids[b] = vocab[c]
+        for i, t in enumerate(made, 256):
+            ids[i] = vocab[t]
+            if len(merge(t)) == 1:  # what doesn't merge from its own letters is made by no text
+                ranks[bytes([letters[c] for c in t])] = i
+        self.top, self.ids = len(ids), np.concatenate((ids, np.arange(max(vocab.values()) + 1, dtype=np.int32)))
+        self.cut = tiktoken.Encoding("pieces", pat_str=BYTE_PRETOKEN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    @classmethod
+    def of(cls, path: str) -> PieceMerger | None:
+        """None for a tokenizer that does more than to cut as above and to merge, or that makes a token by two merges."""
+        import json
+
+        d = json.loads(Path(path).read_text(encoding="utf-8"))
+        model, first = d["model"], d["pre_tokenizer"] or {}
+        more = [d.get("normalizer"), d.get("truncation"), d.get("padding"), *(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))]
+        if model.get("type") != "BPE" or any(more) or first.get("type") != "ByteLevel" or first.get("add_prefix_space", True) or not first.get("use_regex", True):
+            return None
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if len(set(made)) < len(made) or not all(c in model["vocab"] for c in byte_letters()):
+            return None
+        return cls(path, model)
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units one behind the other, how many each has)."""
+        cut, out, odd = self.cut, [], []
+        for u in units:
+            if u.isprintable() and len(u) < 1000 and (u.isascii() or max(u) < "\u0250"):
+                out.append(cut(u))
+            else:
+                odd.append(len(out))
+                out.append(u)
+        for i, got in zip(odd, encode_ids(self.tok, [out[i] for i in odd]), strict=True):
+            out[i] = [self.top + x for x in got]
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        return self.ids[np.fromiter(chain.from_iterable(out), np.int64, int(n.sum()))], n
+
+
 class TextEncoder:
     """ids of whole texts, equal to the library's `encode(text, add_special_tokens=False)`.
 
@@ -207,11 +263,11 @@ class TextEncoder:
     def __init__(self, path: str, kind: str) -> None:
         self.tok, self.words = library(path), kind == "words"
         self.special = [s.encode() for s in special_strings(self.tok)]
-        self.merger = WordMerger(path) if self.words else None
+        self.merger = WordMerger(path) if self.words else PieceMerger.of(path)
         self.table = UnitTable(self._encode_units)
 
-    def _encode_units(self, units: list) -> list[list[int]]:
-        return self.merger.encode(units) if self.words else encode_ids(self.tok, units)
+    def _encode_units(self, units: list) -> list[list[int]] | tuple[np.ndarray, np.ndarray]:
+        return self.merger.encode(units) if self.merger else encode_ids(self.tok, units)
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         flat, counts, odd = [], np.zeros(len(texts), np.int64), []

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import re
 import zlib
 
@@ -30,6 +31,29 @@ def test_units_equal_library(text):
             assert counter(BYTE, lambda: prove_whole_tokens(BYTE)).counts([text.encode()]) == [len(want)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(st.characters(min_codepoint=32, max_codepoint=0x260), max_size=30), st.sampled_from(sorted(_units.library(BYTE).get_vocab())).map(lambda t: _units.library(BYTE).decoder.decode([t]))), max_size=12))
+def test_pieces_equal_library(parts):
+    """Alone and run together, whatever pairs of tokens meet; lists of units give flat ids in order."""
+    units = [u for u in [*parts, "".join(parts), " " + "".join(parts)] if u]
+    flat, n = _units.text_encoder(BYTE, "spaced").merger.encode(units)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == _units.encode_ids(_units.library(BYTE), units) or not units
+
+
+def test_only_odd_units_go_to_the_library(monkeypatch, tmp_path):
+    """Merging new units was most of a task's time; a tokenizer that does more than merge still has its library for all."""
+    asked, ask = [], _units.encode_ids
+    monkeypatch.setattr(_units, "encode_ids", lambda tok, texts: asked.extend(texts) or ask(tok, texts))
+    text = "Plain words, über 12 o'clock xqzvwk\u3000\u65e5\u672c \x1c  end"
+    want = _units.library(BYTE).encode(text, add_special_tokens=False).ids
+    assert _units.TextEncoder(BYTE, "spaced").encode([text.encode()])[0].tolist() == want
+    assert asked == ["\u3000", "\u65e5\u672c", " \x1c"]
+    other = json.loads(open(BYTE, encoding="utf-8").read())
+    other["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(other), encoding="utf-8")
+    assert _units.TextEncoder(str(tmp_path / "lower.json"), "spaced").merger is None
+
+
 def test_unit_table_forgets():
     t = _units.UnitTable(lambda us: [[int(u)] * int(u) for u in us], limit=3)
     assert t.ids(t.rows(["1", "2", "2"])).tolist() == [1, 2, 2, 2, 2]
