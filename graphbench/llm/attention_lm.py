@@ -30,15 +30,16 @@ ROUNDS = 4
 
 
 class Vocabulary:
-    """Model ids: 256 bytes, end of word, end of text, then the frequent (token, last in its word) pairs.
+    """Model ids: 256 bytes, end of word, end of text, then the frequent (token, last in its word) pairs, then joints of two ids.
 
-    A pair that isn't among them is spelled in bytes, with the end-of-word id if it closes a word. So every word is a sequence
-    that no other word's sequence begins with, and word probabilities add up to one at most.
+    A pair that isn't among them is spelled in bytes, with the end-of-word id if it closes a word. Then two neighbours within a word
+    that have a joint become one id, from the left on. So every word is a sequence that no other word's sequence begins with (its last id
+    closes words, no other of its ids does), and word probabilities add up to one at most.
     """
 
     WORD_END, TEXT_END, FIRST = 256, 257, 258
 
-    def __init__(self, path: str, pairs: list[tuple[int, bool]], ranks: dict[bytes, int]) -> None:
+    def __init__(self, path: str, pairs: list[tuple[int, bool]], ranks: dict[bytes, int], joints: np.ndarray | None = None) -> None:
         self.path, self.mark, number = path, uuid.uuid4().hex, {p: i for i, p in enumerate(pairs, self.FIRST)}
         top = max(ranks.values()) + 1
         spelled: list[list[int]] = [[]] * (2 * top)  # of token i: inside a word at 2 i, at its end at 2 i + 1
@@ -48,7 +49,9 @@ class Vocabulary:
         self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.fromiter(chain.from_iterable(spelled), np.int32, int(self.lengths.sum()))
-        self.size = self.FIRST + len(pairs)
+        self.base = self.FIRST + len(pairs)
+        self.joints = np.sort(np.asarray([] if joints is None else joints, np.int64))  # first id * base + second
+        self.size = self.base + len(self.joints)
 
     @staticmethod
     def tokenizer(path: str):
@@ -72,7 +75,22 @@ class Vocabulary:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         (keys, n), first = token_keys(tok, words)
         each = self.lengths[keys]
-        return self.flat[ragged(self.starts[keys], each)], np.add.reduceat(each, first)
+        return self._joined(self.flat[ragged(self.starts[keys], each)], np.add.reduceat(each, first))
+
+    def _joined(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours with a joint as one id; of a row of such neighbours the first and second, the third and fourth, and so on."""
+        if not len(self.joints) or len(ids) < 2:
+            return ids, n
+        word, key = np.repeat(np.arange(len(n)), n), ids[:-1] * np.int64(self.base) + ids[1:]
+        at = np.minimum(np.searchsorted(self.joints, key), len(self.joints) - 1)
+        can = (self.joints[at] == key) & (word[1:] == word[:-1])
+        i, start = np.arange(len(can)), can.copy()
+        start[1:] &= ~can[:-1]
+        take = can & ((i - np.maximum.accumulate(np.where(start, i, 0))) % 2 == 0)
+        out, keep = ids.copy(), np.ones(len(ids), bool)
+        out[:-1][take] = self.base + at[take]
+        keep[1:][take] = False
+        return out[keep], n - np.bincount(word[:-1][take], minlength=len(n))
 
     def encode_words(self, tok, words: list[bytes]) -> list[list[int]]:
         flat, n = self.encode_flat(tok, words)
@@ -96,6 +114,13 @@ def commonest(seen: dict[int, float], size: int) -> list[tuple[int, bool]]:
     return [(k >> 1, bool(k & 1)) for k, _ in best]
 
 
+def commonest_joints(key: np.ndarray, n: np.ndarray, size: int, base: int, most: int, least: float) -> np.ndarray:
+    """From counts n by id * size + the id before it in the word: the pairs of the greatest counts, `most` of them, each met `least` times, as first * base + second; ties by that key."""
+    enough = n >= least
+    joint, n = key[enough] % size * base + key[enough] // size, n[enough]
+    return np.sort(joint[np.lexsort((joint, -n))[:most]])
+
+
 def layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(place of each text's first id, block starts, total): CONTEXT pads before each text, then whole blocks."""
     blocks = -(-lengths // BLOCK)
@@ -122,6 +147,12 @@ class Model:
             "wc": g(dim, shape[0], scale=0.1), "bc": np.zeros(shape[0], np.float32), "wm": g(shape[0], dim, shape[1], scale=0.1), "bm": np.full((shape[0], shape[1]), FAR, np.float32),
         }
         self.p["bm"][classes, members] = 0
+        used = np.zeros(shape[0], np.int64)
+        np.maximum.at(used, classes, members + 1)
+        width = [min(shape[1], max(8, 1 << (int(u) - 1).bit_length())) if u else 0 for u in used]
+        edges = [k for k in range(shape[0] + 1) if k in (0, shape[0]) or width[k] != width[k - 1]]
+        #: (first class, end, columns) of neighbouring classes whose members need as many columns.
+        self.runs = [(a, b, width[a]) for a, b in zip(edges, edges[1:], strict=False) if width[a]]
         i, j = np.arange(BLOCK)[:, None], np.arange(WINDOW)[None]
         self.dist = CONTEXT + i - j
         self.tables: np.ndarray | None = None
@@ -154,6 +185,14 @@ class Model:
         self.edges = tuple(np.cumsum([t.shape[1] for t in parts[:3]]).tolist())
         self.tables = np.ascontiguousarray(np.hstack(parts), np.float32)
         self.bias = self._bias()
+        self.bounded = self._bounded(*parts[:2], self.bias)
+        self.out_c = np.vstack((self.p["wc"], self.p["bc"])).astype(np.float32)
+        self.out_m = {k: np.vstack((self.p["wm"][k, :, :n], self.p["bm"][k, :n])).astype(np.float32) for a, b, n in self.runs for k in range(a, b)}
+
+    def _bounded(self, q: np.ndarray, k: np.ndarray, bias: np.ndarray) -> bool:
+        """Whether no attention score can pass 60, by the longest query and key."""
+        most = [math.sqrt(float(np.einsum("ij,ij->i", t[:, : self.key], t[:, : self.key]).max())) for t in (q, k)]
+        return most[0] * most[1] + float(bias.max()) < 60
 
     def log_probs(self, texts: np.ndarray, lengths: np.ndarray, blocks_at_once: int = 192, rows_at_once: int = 65_536) -> np.ndarray:
         """Natural log probability of every id of `texts` (flat, `lengths` ids each), given those before it in its text.
@@ -179,18 +218,19 @@ class Model:
         held, at, rows = [], [], 0
         for a in range(CONTEXT, total, blocks_at_once * BLOCK):
             b = min(total, a + blocks_at_once * BLOCK)
-            got = self.tables[x[a - CONTEXT : b]]
+            got = np.take(self.tables, x[a - CONTEXT : b], axis=0)
             n, row = (b - a) // BLOCK, got.strides[0]
             view = lambda c, d, size, skip, g=got, n=n, row=row: np.lib.stride_tricks.as_strided(g[skip:, c:d], (n, size, d - c), (row * BLOCK, row, 4))
             score = view(0, q_at, BLOCK, CONTEXT) @ view(q_at, k_at, WINDOW, 0).transpose(0, 2, 1)
             score += self.bias
-            np.minimum(score, 60, out=score)
+            if not self.bounded:
+                np.minimum(score, 60, out=score)
             np.exp(score, out=score)
             att = (score @ view(k_at, v_at, WINDOW, 0)).reshape(b - a, -1)  # the last column is the sum of the weights
             h = att[:, :-1] / np.maximum(att[:, -1:], 1e-30)
             h += got[CONTEXT:, v_at:]
             keep = np.flatnonzero(y[a:b] >= 0)
-            held.append(self._feed(h[keep]))
+            held.append(self._feed(np.take(h, keep, axis=0)))
             at.append(a + keep)
             rows += len(keep)
             if rows >= rows_at_once or b == total:
@@ -201,25 +241,37 @@ class Model:
 
     def _feed(self, h: np.ndarray) -> np.ndarray:
         p = self.p
-        return h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+        act = h @ p["w1"]
+        act += p["b1"]
+        act *= act > 0
+        h += act @ p["w2"]
+        return h
 
     def _output(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        p, c, m = self.p, self.cls[y], self.mem[y]
-        lp = np.empty(len(y), np.float32)
-        for a in range(0, len(y), 2048):
-            z = h[a : a + 2048] @ p["wc"]
-            z += p["bc"]
-            lp[a : a + 2048] = z[np.arange(len(z)), c[a : a + 2048]] - _log_sum(z)
+        c = self.cls[y]
         order = np.argsort(c.astype(np.uint16), kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.shape[0] + 1))
-        hs, ms, got = h[order], m[order], np.empty(len(y), np.float32)
-        for k in range(self.shape[0]):
-            a, b = edges[k], edges[k + 1]
-            if a < b:
-                z = hs[a:b] @ p["wm"][k]
-                z += p["bm"][k]
-                got[a:b] = z[np.arange(b - a), ms[a:b]] - _log_sum(z)
-        lp[order] += got
+        c, m, lp = c[order], self.mem[y[order]], np.empty(len(y), np.float32)
+        hs = np.ones((len(y), h.shape[1] + 1), np.float32)
+        hs[:, :-1] = np.take(h, order, axis=0)
+        rows, got = np.arange(2048), np.empty(len(y), np.float32)
+        for a in range(0, len(y), 2048):
+            z = hs[a : a + 2048] @ self.out_c
+            got[a : a + 2048] = z[rows[: len(z)], c[a : a + 2048]] - _log_sum(z)
+        edges = np.searchsorted(c, np.arange(self.shape[0] + 1)).tolist()
+        for k0, k1, width in self.runs:
+            first, end = edges[k0], edges[k1]
+            z, k = np.empty((min(2048, end - first), width), np.float32), k0
+            for a in range(first, end, 2048):
+                b = min(end, a + 2048)
+                while k < k1 and edges[k] < b:
+                    i, j = max(a, edges[k]), min(b, edges[k + 1])
+                    if i < j:
+                        np.matmul(hs[i:j], self.out_m[k], out=z[i - a : j - a])
+                    if edges[k + 1] > b:
+                        break
+                    k += 1
+                got[a:b] += z[rows[: b - a], m[a:b]] - _log_sum(z[: b - a])
+        lp[order] = got
         return lp
 
     def train(self, texts: np.ndarray, lengths: np.ndarray, steps: int = 700, batch: int = 192, rate: float = 8e-3, seed: int = 3, once: bool = False) -> list[float]:
@@ -253,24 +305,27 @@ class Model:
         """
         p, key, n = self.p, self.key, len(xw)
         tq, tk, tv, te = self._tables()
-        own = xw[:, CONTEXT:]
-        q, kv = tq[own], np.hstack((tk, tv))[xw]
+        own, bias = xw[:, CONTEXT:], self._bias()
+        q, kv = np.take(tq, own, axis=0), np.take(np.hstack((tk, tv)), xw, axis=0)
         k, v = kv[:, :, : key + 1], kv[:, :, key + 1 :]
         a = q @ k.transpose(0, 2, 1)
-        a += self._bias()
-        np.minimum(a, 60, out=a)
+        a += bias
+        if not self._bounded(tq, tk, bias):
+            np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         att = (a @ v).reshape(own.size, -1)
-        total = np.maximum(att[:, -1:], 1e-30)
-        keep = np.flatnonzero(ok)
-        mixed = att[keep, :-1] / total[keep]
-        h0 = mixed + te[own.ravel()[keep]]
+        total, ok = np.maximum(att[:, -1:], 1e-30), ok.ravel()
+        counted = np.count_nonzero(ok)
+        keep = slice(None) if counted > 0.8 * ok.size else np.flatnonzero(ok)  # few rows that don't count cost less than to leave them out
+        mixed, at = att[keep, :-1] / total[keep], own.ravel()[keep]
+        h0 = mixed + np.take(te, at, axis=0)
         act = h0 @ p["w1"]
         act += p["b1"]
-        np.maximum(act, 0, out=act)
-        loss, dh, g = self._output_grads(h0 + act @ p["w2"], y.ravel()[keep])
+        on = act > 0
+        act *= on
+        loss, dh, g = self._output_grads(h0 + act @ p["w2"], y.ravel()[keep], (ok[keep] / max(1, counted)).astype(h0.dtype))
         da = dh @ p["w2"].T
-        da *= act > 0
+        da *= on
         g |= {"w2": act.T @ dh, "w1": h0.T @ da, "b1": da.sum(0)}
         dh += da @ p["w1"].T
         back = np.zeros((own.size, att.shape[1]), dh.dtype)  # gradient by the value, and what the sum of weights takes off
@@ -282,7 +337,7 @@ class Model:
         seen = self.dist >= 0
         g["rel"] = np.bincount(self.dist[seen], weights=ds.sum(0)[seen], minlength=WINDOW).astype(np.float32)
         by_key = _sum_by(xw.ravel(), [ds.transpose(0, 2, 1) @ q[:, :, :-1], a.transpose(0, 2, 1) @ back[:, :, :-1]], self.size + 1)
-        by_query = _sum_by(own.ravel()[keep], [(ds @ k[:, :, :-1]).reshape(own.size, key)[keep], dh], self.size + 1)
+        by_query = _sum_by(at, [(ds @ k[:, :, :-1]).reshape(own.size, key)[keep], dh], self.size + 1)
         through = np.hstack((by_query[:, :key], by_key))
         through[self.size] = 0
         maps = te.T @ through
@@ -292,29 +347,32 @@ class Model:
         g["E"][self.size] = 0
         return loss, g
 
-    def _output_grads(self, h: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, dict]:
-        """Mean loss of y, the gradient of h, and those of the output's weights; rows are taken in the order of their classes."""
-        p, w = self.p, 1 / max(1, len(y))
+    def _output_grads(self, h: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, dict]:
+        """Loss of y with the weights w, the gradient of h, and those of the output's weights; rows are taken in the order of their classes."""
+        p = self.p
         order = np.argsort(self.cls[y].astype(np.uint16), kind="stable")
-        c, m, rows = self.cls[y[order]], self.mem[y[order]], np.arange(len(y))
-        hs = np.hstack((h[order], np.ones((len(y), 1), h.dtype)))
+        y, w = y[order], w[order]
+        c, m, rows = self.cls[y], self.mem[y], np.arange(len(y))
+        hs = np.ones((len(y), h.shape[1] + 1), h.dtype)
+        hs[:, :-1] = np.take(h, order, axis=0)
         wc, wm = np.vstack((p["wc"], p["bc"])), np.concatenate((p["wm"], p["bm"][:, None]), axis=1)
-        pc, lost = _softmax_loss(hs @ wc, c, rows, w)
+        pc, loss = _softmax_loss(hs @ wc, c, rows, w)
         gc, dh = hs.T @ pc, pc @ p["wc"].T
-        edges = np.searchsorted(c, np.arange(self.shape[0] + 1)).tolist()
-        met = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
-        z, gm, more = np.empty((len(y), self.shape[1]), h.dtype), np.zeros_like(wm), np.empty_like(dh)
-        for k, a, b in met:
-            np.matmul(hs[a:b], wm[k], out=z[a:b])
-        pm, lost_m = _softmax_loss(z, m, rows, w)
-        turned = p["wm"].transpose(0, 2, 1)
-        for k, a, b in met:
-            np.matmul(hs[a:b].T, pm[a:b], out=gm[k])
-            np.matmul(pm[a:b], turned[k], out=more[a:b])
-        dh += more
+        edges, gm, turned = np.searchsorted(c, np.arange(self.shape[0] + 1)).tolist(), np.zeros_like(wm), p["wm"].transpose(0, 2, 1)
+        for k0, k1, width in self.runs:
+            first, end = edges[k0], edges[k1]
+            met = [(k, edges[k] - first, edges[k + 1] - first) for k in range(k0, k1) if edges[k] < edges[k + 1]]
+            z, hr, dr = np.empty((end - first, width), h.dtype), hs[first:end], dh[first:end]
+            for k, a, b in met:
+                np.matmul(hr[a:b], wm[k, :, :width], out=z[a:b])
+            pm, lost = _softmax_loss(z, m[first:end], rows[: end - first], w[first:end])
+            loss += lost
+            for k, a, b in met:
+                gm[k, :, :width] = hr[a:b].T @ pm[a:b]
+                dr[a:b] += pm[a:b] @ turned[k, :width]
         out = np.empty_like(dh)
         out[order] = dh
-        return lost + lost_m, out, {"wc": gc[:-1], "bc": gc[-1], "wm": gm[:, :-1], "bm": gm[:, -1]}
+        return loss, out, {"wc": gc[:-1], "bc": gc[-1], "wm": gm[:, :-1], "bm": gm[:, -1]}
 
 
 class Adam:
@@ -332,18 +390,17 @@ class Adam:
     def step(self, grads: dict, rate: float) -> None:
         self.t += 1
         g, m1, m2, room = np.concatenate([grads[k].ravel() for k in self.p]).astype(self.flat.dtype, copy=False), self.m1, self.m2, self.room
-        np.subtract(g, m1, out=room)
-        room *= 0.1
-        m1 += room
-        g *= g
-        g -= m2
-        g *= 0.01
+        m1 *= 0.9
+        g *= 0.1
+        m1 += g
+        g *= g  # a hundredth of the gradient's square
+        m2 *= 0.99
         m2 += g
-        np.divide(m2, 1 - 0.99**self.t, out=room)
-        np.sqrt(room, out=room)
-        room += 1e-6
+        np.sqrt(m2, out=room)
+        left = math.sqrt(1 - 0.99**self.t)
+        room += 1e-6 * left
         np.divide(m1, room, out=room)
-        room *= rate / (1 - 0.9**self.t)
+        room *= rate * left / (1 - 0.9**self.t)
         self.flat -= room
 
 
@@ -355,8 +412,8 @@ def _sum_by(index: np.ndarray, parts: list[np.ndarray], size: int) -> np.ndarray
     return out.reshape(size, n)
 
 
-def _softmax_loss(z: np.ndarray, at: np.ndarray, rows: np.ndarray, w: float) -> tuple[np.ndarray, float]:
-    """(w * (softmax of each row, less one at its `at`), w * the sum of -log of the softmax there)."""
+def _softmax_loss(z: np.ndarray, at: np.ndarray, rows: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """(softmax of each row, less one at its `at`, times the row's w; the sum of w * -log of the softmax there)."""
     held = z[rows, at]
     with np.errstate(over="ignore"):
         e = np.exp(z)
@@ -366,9 +423,9 @@ def _softmax_loss(z: np.ndarray, at: np.ndarray, rows: np.ndarray, w: float) ->
         e *= (w / total)[:, None]
     else:
         log_sum = _log_sum(z)
-        e = w * np.exp(z - log_sum[:, None])
+        e = w[:, None] * np.exp(z - log_sum[:, None])
     e[rows, at] -= w
-    return e, float(w * (log_sum - held).sum())
+    return e, float(w @ (log_sum - held))
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -389,36 +446,55 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def word_classes(ids: np.ndarray, size: int, shape: tuple[int, int], pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in equal classes of neighbours by what precedes them (first singular vectors of the log pair counts; those of ids unless given)."""
-    if pairs is None:
-        pairs = np.zeros((size, size), np.float32)
-        np.add.at(pairs, (ids[1:], ids[:-1]), 1)
-    x = np.log1p(pairs)
-    total = pairs.sum(axis=1)
-    r = np.random.default_rng(0)
-    basis = np.linalg.qr(x.T @ (x @ r.normal(size=(size, 8)).astype(np.float32)))[0]
-    u = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-6)) @ basis
-    u -= u.mean(0)
-    order = np.argsort(u @ np.linalg.svd(u, full_matrices=False)[2][0], kind="stable")
-    order = np.concatenate((order[total[order] > 0], order[total[order] == 0]))
-    rank = np.empty(size, np.int64)
-    rank[order] = np.arange(size)
-    return rank // shape[1], rank % shape[1]
-
+def class_widths(counts: np.ndarray) -> list[int]:
+    """How many ids each class takes, the commonest ids first: few a class among these, many among the rare ones.
 
-def fit(texts: list[bytes], path: str, size: int = 2500, steps: int = 700, vocab: Vocabulary | None = None, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Vocabulary, Model]:
+    Of three sizes of class and their shares of the ids, those for which a class more and the members of a class, by how often they are met, cost least.
+    """
+    size, share = len(counts), np.concatenate(([0.0], np.cumsum(np.sort(counts)[::-1]))) / max(1, counts.sum())
+    best = (math.inf, [])
+    for few, w1 in ((a, b) for a in (0, 32, 64, 128, 256) for b in (8, 16)):
+        for more, w2 in ((a, b) for a in (256, 512, 1024, 2048) for b in (16, 32, 64)):
+            for w3 in (64, 128, 256):
+                ends = [min(few, size), min(more, size), size]
+                n = [-(-max(0, b - a) // w) for a, b, w in zip([0, *ends], ends, (w1, w2, w3), strict=False)]
+                cost = 1.3 * sum(n) + sum(w * (share[b] - share[a]) for a, b, w in zip([0, *ends], ends, (w1, w2, w3), strict=False))
+                if cost < best[0]:
+                    tiers = zip([0, *ends], ends, (w1, w2, w3), strict=False)
+                    best = (cost, [min(w, b - i) for a, b, w in tiers for i in range(a, b, w)])
+    return best[1]
+
+
+def word_classes(counts: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """(class, member, shape) of ids: those about as common are neighbours by what precedes them (first singular vectors of the logs of n, the counts by id * size + the id before)."""
+    size, (row, col), x = len(counts), np.divmod(key, len(counts)), np.log1p(n)
+    summed = lambda to, at, b: np.stack([np.bincount(to, weights=x * b[at, j], minlength=size) for j in range(b.shape[1])], axis=1)
+    basis = np.linalg.qr(summed(col, row, summed(row, col, np.random.default_rng(0).normal(size=(size, 8)))))[0]
+    u = summed(row, col, basis) / (np.sqrt(np.bincount(row, weights=x * x, minlength=size)) + 1e-6)[:, None]
+    u -= u.mean(0)
+    near = u @ np.linalg.svd(u, full_matrices=False)[2][0]
+    widths = np.asarray(class_widths(counts))
+    tier = np.empty(size, np.int64)  # by the size of the classes that the id's count comes to
+    tier[np.argsort(-counts, kind="stable")] = np.repeat(np.concatenate(([0], np.cumsum(np.abs(np.diff(widths)) > 0))), widths)
+    order = np.lexsort((near, np.bincount(row, weights=n, minlength=size) == 0, tier))
+    cls, mem = np.empty(size, np.int64), np.empty(size, np.int64)
+    cls[order] = np.repeat(np.arange(len(widths)), widths)
+    mem[order] = np.arange(size) - np.repeat(np.cumsum(widths) - widths, widths)
+    return cls, mem, (len(widths), int(widths.max()))
+
+
+def fit(texts: list[bytes], path: str, size: int = 2500, steps: int = 700, vocab: Vocabulary | None = None, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[Vocabulary, Model]:
     """Learn the ids and the counts of pairs and of ids behind the classes (unless they are given), and the weights, from texts."""
     docs = [t.lower().split() for t in texts]
     words = Counter(w for d in docs for w in d)
     vocab = vocab or Vocabulary.learn(path, words, size)
     flat, lengths = encode_docs(vocab, Vocabulary.tokenizer(path)[0], docs, list(words))
-    width = math.isqrt(size - 1) + 1
-    shape = (-(-size // width), width)
-    pairs, own = known or (None, np.bincount(flat, minlength=size).astype(float))
-    cls, mem = word_classes(flat, size, shape, pairs) if own.any() else (np.arange(size) // width, np.arange(size) % width)
+    size = max(size, vocab.size)
+    if known is None:
+        known = np.bincount(flat, minlength=size).astype(float), *np.unique(flat[1:] * size + flat[:-1], return_counts=True)
+    cls, mem, shape = word_classes(*known)
     model = Model(size, cls, mem, shape)
-    model.prior(own)
+    model.prior(known[0])
     if len(flat):
         model.train(flat, lengths, steps)
     return vocab, model
@@ -502,14 +578,21 @@ def _id_pairs(shared, size: int):
     return run
 
 
-def id_counts(counts: DataFrame, vocab: Vocabulary, size: int, ends: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often an id follows another within a word (row: the id, column: the one before) and how often each stands, in all training texts; `ends` of them."""
+def id_keys(counts: DataFrame, vocab: Vocabulary, size: int, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how often each id stands, key, n), in all training texts, `ends` of them; n counts the pairs of an id and the one before it within a word, by id * size + the one before."""
     got = counts.mapInArrow(_id_pairs(counts.sparkSession.sparkContext.broadcast(vocab), size), "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
-    pairs, own = np.zeros(size * size, np.float32), np.zeros(size)
-    pairs[key[key >= 0]] = n[key >= 0]
+    own, order = np.zeros(size), np.argsort(key[key >= 0], kind="stable")
     own[-1 - key[key < 0]] = n[key < 0]
     own[Vocabulary.TEXT_END] += ends
+    return own, key[key >= 0][order], n[key >= 0][order]
+
+
+def id_counts(counts: DataFrame, vocab: Vocabulary, size: int, ends: int) -> tuple[np.ndarray, np.ndarray]:
+    """What id_keys counts, the pairs as a matrix (row: the id, column: the one before) and each id's number."""
+    own, key, n = id_keys(counts, vocab, size, ends)
+    pairs = np.zeros(size * size, np.float32)
+    pairs[key] = n
     return pairs.reshape(size, size), own
 
 
@@ -522,7 +605,7 @@ def _train_here(shared, rate: float, most_bytes: int):
 
         def learn() -> int:
             flat, lengths = spell(table, [t.lower().split() for t in held])
-            model.train(flat, lengths, rate=rate, once=True)
+            model.train(flat, lengths, rate=rate, once=True, batch=384)
             held.clear()
             return len(flat)
 
@@ -551,7 +634,7 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [0], "ids": [total], "weights": [pickle.dumps({k: np.asarray(v, np.float32) for k, v in mean.items()})]})
 
 
-def train_on_share(train: DataFrame, vocab: Vocabulary, model: Model, share: float, rate: float = 1.5e-3, most_bytes: int = 4_000_000, above: float = 0.0) -> float:
+def train_on_share(train: DataFrame, vocab: Vocabulary, model: Model, share: float, rate: float = 2e-3, most_bytes: int = 4_000_000, above: float = 0.0) -> float:
     """Train on a share of all training texts, by hash of the id (from `above` to `share`; all of them at 0 and 1), where they lie.
 
     Every task goes on from the same weights over its own texts; their mean, by ids met, is the model's. Means are taken in groups of tasks first,
@@ -653,7 +736,7 @@ class Learned(NamedTuple):
     v: int
 
 
-def learn(train: DataFrame, path: str, sample_docs: int, sample_bytes: int, size: int, steps: int, train_share: float, frequent: int) -> Learned:
+def learn(train: DataFrame, path: str, sample_docs: int, sample_bytes: int, size: int, steps: int, train_share: float, frequent: int, joints: int = 2500, joint_least: float = 1000) -> Learned:
     """All that scoring needs, from the training rows (doc_id, text)."""
     counts = train.select("text").mapInArrow(_count_words(200_000), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "words")
@@ -667,7 +750,13 @@ def learn(train: DataFrame, path: str, sample_docs: int, sample_bytes: int, size
         cut = low
     top = counts.where(F.col("c") >= cut).toArrow()
     pairs = counts.mapInArrow(_pair_counts(path), "key long, n double").groupBy("key").agg(F.sum("n").alias("n"))  # two a token of the public vocabulary at most
-    vocab = Vocabulary(path, commonest({r.key: r.n for r in pairs.collect()}, size), Vocabulary.tokenizer(path)[1])
+    common, ranks = commonest({r.key: r.n for r in pairs.collect()}, size), Vocabulary.tokenizer(path)[1]
+    vocab = Vocabulary(path, common, ranks)
+    known = id_keys(counts, vocab, size, n_train)
+    joined = commonest_joints(*known[1:], size, vocab.base, joints, joint_least)
+    if len(joined):
+        vocab = Vocabulary(path, common, ranks, joined)
+        known = id_keys(counts, vocab, max(size, vocab.size), n_train)
     size_of_text = F.coalesce(F.octet_length("text"), F.lit(0))
     n_bytes = train.agg(F.sum(size_of_text)).first()[0] or 0
     chance = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 30)) / float(1 << 30)
@@ -677,7 +766,7 @@ def learn(train: DataFrame, path: str, sample_docs: int, sample_bytes: int, size
         if (held_bytes := held_bytes + len(r.text)) > 4 * sample_bytes:
             break
         sample.append(r.text.encode())
-    vocab, model = fit(sample, path, size, steps, vocab, id_counts(counts, vocab, size, n_train))
+    vocab, model = fit(sample, path, size, steps, vocab, known)
     for k in range(ROUNDS if train_share else 0):
         train_on_share(train, vocab, model, train_share * (k + 1) / ROUNDS, above=train_share * k / ROUNDS)
     return Learned(counts, vocab, model, top, cut, n_train, n, v)
@@ -689,7 +778,7 @@ def score_documents(docs: DataFrame, modulus: int = 5, held: int = 1, path: str
     Words are split at ASCII white space with A-Z lower-cased; each text ends with one end token. base_score is the unigram
     log10 probability from the word counts of all training documents (crc32 of the id modulo `modulus` is not `held`).
     score mixes, word by word, the attention model's probability (`weight`) with that unigram, both proper over words.
-    Word counts, the model's ids and its classes come from all training documents. The network's first weights come from a sample (expected sample_docs documents or
+    Word counts, the model's ids, the joints of neighbouring ids (2,500, each met a thousand times at least) and its classes come from all training documents. The network's first weights come from a sample (expected sample_docs documents or
     sample_bytes, whichever is less, by hash of the id, each of at most sample_bytes; the driver holds four times that at most); from there it meets train_share of all
     training documents (by default every one), whole and once, in the tasks that read them.
 

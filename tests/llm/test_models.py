@@ -130,6 +130,52 @@ def test_words_are_prefix_free(small):
     assert all(lm.Vocabulary.TEXT_END not in c and max(c) < vocab.size for c in codes)
 
 
+def test_neighbours_met_often_are_one_id(spark):
+    """A pair of ids met a thousand times within the training words has an id of its own; words stay prefix-free, and rarer pairs stay two ids."""
+    words = {"thnd": 900, "thndor": 600, "ndor": 400, "thndthnd": 300, "xyqthor": 5}
+    rows = [(i, " ".join([w] * n)) for i, (w, n) in enumerate((w, n) for w, n in words.items() for _ in range(3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    k = lm.learn(df, PATH, sample_docs=20, sample_bytes=100_000, size=300, steps=5, train_share=1.0, frequent=10)
+    tok, _ = lm.Vocabulary.tokenizer(PATH)
+    plain, codes = (v.encode_words(tok, [w.encode() for w in words]) for v in (lm.Vocabulary.learn(PATH, Counter({w.encode(): 3 * n for w, n in words.items()}), 300), k.vocab))
+    assert sum(n * len(c) for n, c in zip(words.values(), codes)) < 0.75 * sum(n * len(c) for n, c in zip(words.values(), plain))
+    made = {j: divmod(int(x), k.vocab.base) for j, x in enumerate(k.vocab.joints, k.vocab.base)}
+    assert [[y for x in c for y in made.get(x, (x,))] for c in codes] == plain
+    met = Counter(p for n, c in zip(words.values(), plain) for p in zip(c, c[1:]) for _ in range(3 * n))
+    assert set(made.values()) == {p for p, n in met.items() if n >= 1000}
+    assert len(made) > 1 and k.model.size >= k.vocab.size
+    assert not any(a != b and b[: len(a)] == a for a in codes for b in codes)
+
+
+def test_classes_are_small_where_ids_are_common():
+    """The output of an id takes its classes and the members of its own; these are few for common ids, and gradients and sums hold for classes of any size."""
+    share = 1 / np.arange(1, 2501) ** 1.05
+    widths = np.asarray(lm.class_widths(share))
+    assert widths.sum() == 2500
+    assert len(widths) + np.repeat(widths, widths) @ share / share.sum() < 90  # 100 for 50 classes of 50
+    r, counts = np.random.default_rng(2), np.arange(40.0)[::-1]
+    cls, mem, shape = lm.word_classes(counts, np.asarray([41, 85, 7]), np.asarray([3.0, 2.0, 9.0]))
+    assert len(set(zip(cls.tolist(), mem.tolist()))) == 40
+    cls, mem = np.repeat([0, 1, 2], [3, 12, 285]), np.concatenate([np.arange(n) for n in (3, 12, 285)])
+    m = lm.Model(300, cls, mem, (3, 285), dim=5, key=4, hidden=6)
+    assert [w for _, _, w in m.runs] == [8, 16, 285]
+    ids = np.asarray([3, 30, 5], np.int32)
+    assert sum(math.exp(m.log_probs(np.append(ids, y).astype(np.int32), np.asarray([4]))[3]) for y in range(300)) == pytest.approx(1, abs=1e-3)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    xw, y, ok = r.integers(0, 300, (3, lm.WINDOW)), r.integers(0, 40, (3, lm.BLOCK)), np.ones((3, lm.BLOCK), bool)
+    ok[2, 3:] = ok[1, 1:] = False
+    for ok in (ok, np.ones_like(ok)):
+        _, g = m._grads(xw, y, ok)
+        for k, i in (("wm", (0, 2, 1)), ("wm", (2, 1, 24)), ("bm", (1, 11)), ("wc", (2, 2)), ("E", (7, 2)), ("v", (1, 1)), ("w1", (0, 4))):
+            old = m.p[k][i]
+            m.p[k][i] = old + 1e-4
+            up = m._grads(xw, y, ok)[0]
+            m.p[k][i] = old - 1e-4
+            down = m._grads(xw, y, ok)[0]
+            m.p[k][i] = old
+            assert g[k][i] == pytest.approx((up - down) / 2e-4, abs=2e-4), k
+
+
 @pytest.mark.parametrize("frequent", [200_000, 4])
 def test_score_documents(spark, frequent):
     base = ["The cat sat on the mat", "the dog  ran\tand\nran", "", None, "Über straße 日本 <|endoftext|>", "a " * 5000, "once only words here", "x\x0by\x85z", "THE THE the"]
