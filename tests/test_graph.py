@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from graphbench.catalog import Graph, directed, parse_filter, schema_relationships, symmetric, trade_graph
 from graphbench.functions.retrieval import hash_embedding, vector_topk
 from graphbench.functions.validate import ground_truth
-from graphbench.operators import context, expand, levels, metrics
+from graphbench.operators import context, expand, levels, metrics, products
 from graphbench.plans.pattern import PatternError, match
-from graphbench.queries import QUERIES
+from graphbench.queries import ORACLE, QUERIES
 from graphbench.sources import files, generate, graphml
 from graphbench.streaming.degree import windowed_degree
 
@@ -102,6 +102,36 @@ def test_types_of_paths_without_the_paths(spark, monkeypatch):
     assert {(len(r.types.split()), r.hint[0]) for r in QUERIES["path_hints"](spark, "/root/testdata/sf0.001").collect()} >= {(2, "2"), (4, "4")} and not unsure
 
 
+def test_same_type_counts_by_blocks(spark, monkeypatch):
+    """Many nodes of several labels, in small blocks and chunks, with direct edges, loops and parallel edges, against plain loops."""
+    monkeypatch.setattr(levels, "BITS", 5)
+    monkeypatch.setattr(products, "SIZE", 4)
+    monkeypatch.setattr(products, "WIDE", 7)
+    r = random.Random(11)
+    ids = [f"{'ABC'[k % 3]}:{k}" for k in range(30)]
+    ends = [(r.choice(ids), r.choice(ids)) for _ in range(38)]
+    ends.append((ends[0][0], ends[0][0]))
+    ends.append(ends[0])
+    near = {i: {i: 0} for i in ids}
+    for i in ids:
+        for h in (1, 2, 3):
+            for a, b in ends + [(b, a) for a, b in ends]:
+                if near[i].get(a, 9) == h - 1:
+                    near[i].setdefault(b, h)
+    want = {}
+    for a in ids:
+        for b in ids:
+            if a < b and a[0] == b[0] and (a, b) not in ends and (b, a) not in ends:
+                for c in (near[a].keys() & near[b].keys()) - {a, b}:
+                    k = (a, b, a[0], near[a][c], near[b][c])
+                    want[k] = want.get(k, 0) + 1
+    sym = symmetric(edges(spark, [(a, "T", b) for a, b in ends]))
+    some = spark.createDataFrame([(i, [i[0]]) for i in ids] + [("A:x", ["A"]), (ids[0] + "x", ["A", "B"]), (None, ["A"])], "element_id string, labels array<string>")
+    got = expand.same_type_counts(sym, some)
+    assert len(want) > 100 and sorted(tuple(x) for x in got.select("a", "b", "label", "dist_a", "dist_b", "commons").collect()) == sorted((*k, n) for k, n in want.items())
+    assert {p for p in ("Nation", "Region") if f"'{p}:" in ORACLE["same_type_common"].split("r1 as")[1]} == set()  # every label
+
+
 def test_path_queries_cover_all_edges(spark, tmp_path):
     """Against plain loops on a graph with customers, orders, line items and part keys of 10 and more."""
     li = [(o, k, p, s, 1.0, 2.0, 0.0, 0.0, "R", "F", datetime.date(2024, 1, 1)) for k, (o, p, s) in enumerate([(1, 3, 1), (1, 12, 1), (2, 12, 2), (3, 40, 2), (3, 3, 2)])]
