@@ -132,6 +132,25 @@ def test_same_type_counts_by_blocks(spark, monkeypatch):
     assert {p for p in ("Nation", "Region") if f"'{p}:" in ORACLE["same_type_common"].split("r1 as")[1]} == set()  # every label
 
 
+def test_chosen_pairs_of_many_nodes(spark, monkeypatch):
+    """Pairs sought in hash order, some at a time, are the first of all pairs; a second pass is needed where few have a useful common node."""
+    ids = [f"A:{k}" for k in range(12)]
+    sym = symmetric(edges(spark, [(f"A:{k}", "T", f"X:{x}") for k in range(12) for x in {k // 3, (k * 5) % 7 + 10}]))
+    some = spark.createDataFrame([(i, ["A"]) for i in ids], "element_id string, labels array<string>")
+    useful = sym.select(F.col("a").alias("common")).distinct().withColumn("common_props", F.lit("p"))
+    cols = ["hash", "a", "b", "common", "dist_a", "dist_b"]
+    run = lambda u, most: sorted(tuple(r) for r in expand._chosen_pairs(sym, some, u, 3, most, 42).select(*cols).collect())
+    whole = run(useful, 1000)  # few nodes: all pairs at once
+    at = {}
+    for k, r in enumerate(whole):
+        at.setdefault(r[3], k)
+    rare = max(at, key=at.get)
+    assert at[rare] >= 10
+    monkeypatch.setattr(levels, "BITS", 11)
+    assert run(useful, 3) == whole[:3]
+    assert run(useful.where(F.col("common") == rare), 1) == [r for r in whole if r[3] == rare][:1]
+
+
 def test_path_queries_cover_all_edges(spark, tmp_path):
     """Against plain loops on a graph with customers, orders, line items and part keys of 10 and more."""
     li = [(o, k, p, s, 1.0, 2.0, 0.0, 0.0, "R", "F", datetime.date(2024, 1, 1)) for k, (o, p, s) in enumerate([(1, 3, 1), (1, 12, 1), (2, 12, 2), (3, 40, 2), (3, 3, 2)])]
